@@ -1,0 +1,5 @@
+"""No streaming workload exists in the scope of this library.
+
+Every source is a whole-table batch, so there is no watermark, window or
+state to express here; the package only keeps the layout complete.
+"""
