@@ -58,9 +58,9 @@ def lead_buckets_cut(
 ) -> DataFrame:
     """Half-open ``(lo, hi]`` buckets; rows outside them are not counted."""
     return (
-        df.withColumn("_at", labels.lead_bucket_cut_index())
-        .filter("_at IS NOT NULL")
-        .groupBy("_at")
+        df.withColumns({"_slot": labels.lead_bucket_cut_index(), "lead_bucket": labels.lead_bucket_cut(names=names)})
+        .filter("_slot IS NOT NULL")
+        .groupBy("_slot", "lead_bucket")
         .agg(
             mean_int("is_cancelled", 4, half_even=True).alias("cancellation_rate"),
             F.count(F.lit(1)).alias("bookings"),

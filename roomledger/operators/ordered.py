@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from roomledger.session import checkpoint_dir
 
-CHUNK, POS = "_chunk", "_pos"
+CHUNK, POS = "__chunk", "__pos"
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 

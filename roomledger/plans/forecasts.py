@@ -1 +1,83 @@
-"""Pending."""
+"""Daily series, baselines and forecasts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from roomledger.operators import forecasting as fc
+from roomledger.plans.registry import plan, sum_money
+from roomledger.sources.testdata import load_bookings as load
+
+
+def series(spark, path):
+    return fc.daily_series(load(spark, path, "check_in_date", "total_amount", "is_cancelled"))
+
+
+_SERIES = f""", ts AS (SELECT check_in_date AS ds, {sum_money('total_amount')} AS y FROM bookings WHERE is_cancelled = 0 GROUP BY 1),
+ lg AS (SELECT ds, y, LAG(y, 7) OVER (ORDER BY ds) AS y_lag, ROW_NUMBER() OVER (ORDER BY ds DESC) AS back FROM ts),
+ sp AS (SELECT MIN(ds) AS first, MAX(ds) AS last FROM ts),
+ co AS (SELECT CAST(last - 90 - i * 90 AS DATE) AS cutoff FROM sp, (SELECT CAST(UNNEST(RANGE(0, 1000)) AS INT) AS i) WHERE CAST(last - 90 - i * 90 AS DATE) >= CAST(first + 450 AS DATE)),
+ cv AS (SELECT cutoff, ds, CAST(ds - cutoff AS INT) AS horizon, y, y_lag AS yhat FROM lg JOIN co ON ds > cutoff AND ds <= CAST(cutoff + 90 AS DATE) WHERE y_lag IS NOT NULL),
+ cm AS (SELECT horizon, SQRT(AVG((y - yhat) * (y - yhat))) AS rmse, AVG(ABS(y - yhat)) AS mae, AVG(ABS(y - yhat) / NULLIF(ABS(y), 0)) AS mape FROM cv GROUP BY horizon)"""
+
+
+@plan("fc_daily_series", _SERIES + " SELECT ds, y FROM ts ORDER BY ds")
+def fc_daily_series(spark, path):
+    return series(spark, path)
+
+
+@plan("win_lag", _SERIES + " SELECT ds, y, y_lag FROM lg")
+def win_lag(spark, path):
+    return fc.lagged(series(spark, path))
+
+
+@plan("win_trailing_horizon", _SERIES + " SELECT ds, y FROM lg WHERE back <= 90")
+def win_trailing_horizon(spark, path):
+    return fc.trailing(series(spark, path))
+
+
+@plan("fc_seasonal_naive", _SERIES + " SELECT ROUND(SQRT(AVG((y - y_lag) * (y - y_lag))), 2) AS baseline_rmse FROM lg WHERE back <= 90")
+def fc_seasonal_naive(spark, path):
+    return fc.seasonal_naive_rmse(series(spark, path))
+
+
+@plan(
+    "fc_future_frame",
+    _SERIES + " SELECT ds FROM ts UNION ALL SELECT CAST(last + i AS DATE) FROM sp, (SELECT CAST(UNNEST(RANGE(1, 91)) AS INT) AS i)",
+)
+def fc_future_frame(spark, path):
+    return fc.future_frame(series(spark, path))
+
+
+@plan("fc_cutoffs", _SERIES + " SELECT cutoff FROM co")
+def fc_cutoffs(spark, path):
+    return fc.cutoffs(series(spark, path))
+
+
+@plan(
+    "fc_cv_metrics",
+    _SERIES + " SELECT horizon, ROUND(rmse, 4) AS rmse, ROUND(mae, 4) AS mae, ROUND(mape, 6) AS mape FROM cm",
+)
+def fc_cv_metrics(spark, path):
+    metrics = fc.cv_metrics(fc.naive_cv(series(spark, path)))
+    return metrics.select(
+        "horizon", F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), F.round("mape", 6).alias("mape")
+    )
+
+
+@plan(
+    "fc_cv_summary",
+    _SERIES + " SELECT ROUND(AVG(rmse), 2) AS rmse, ROUND(AVG(mae), 2) AS mae, ROUND(AVG(mape), 4) AS mape FROM cm",
+)
+def fc_cv_summary(spark, path):
+    return fc.cv_summary(fc.cv_metrics(fc.naive_cv(series(spark, path))))
+
+
+@plan("fc_decomposable")
+def fc_decomposable(spark, path):
+    return fc.forecast(series(spark, path))
+
+
+@plan("fc_model_comparison")
+def fc_model_comparison(spark, path):
+    return fc.comparison(series(spark, path))
