@@ -3,9 +3,11 @@
 Reference rows are grouped around centroids. By the triangle inequality a cell
 can hold a nearer neighbour only if ``d(query, centroid) - radius`` is below the
 k-th distance found so far, so a query visits its home cell first and then only the
-cells that bound leaves open. Cells and their queries are cut into blocks of bounded
-size; a task compares one block of queries with one block of references and keeps
-k candidates per query, so neither a hot cell nor its pairs meet in one place.
+cells that bound leaves open. Equal vectors are merged first: of equal references only
+the k lowest keys can be among the k nearest, and equal queries share one answer. Cells
+and their queries are cut into blocks of bounded size; a task compares one block of
+queries with one block of references and keeps k candidates per query, so neither a hot
+cell nor its pairs meet in one place.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ def nearest(
     train: DataFrame, test: DataFrame, k: int, key: str, label: str, features: str = "features", seed: int = 42
 ) -> DataFrame:
     """(key, neighbour, label, distance, rank) of the k nearest train rows per test row."""
-    known = train.select(key, label, features).persist()
+    known = _first_k_of_equal(train.select(key, label, features), k, key, features).persist()
     cells = max(1, min(MAX_CELLS, int(math.sqrt(known.count() / 50))))
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol=features, predictionCol="cell").fit(known)
     centres = np.array([c.tolist() for c in model.clusterCenters()])
@@ -47,7 +49,8 @@ def nearest(
     bounds = {r["cell"]: r["radius"] for r in layout.collect()}
     radius = np.array([bounds.get(i, -np.inf) for i in range(len(centres))])
 
-    queries = _to_arrays(test.select(key, features), features)
+    asked = _to_arrays(test.select(key, features), features)
+    queries = asked.groupBy("vec").agg(F.min(key).alias(key)).persist()
     home = _home(queries, key, centres, bounds)
     first = _visit(home.withColumn("cell", F.col("home")), reference, layout, key, k)
     kth = first.groupBy(key).agg(
@@ -57,7 +60,18 @@ def nearest(
     ready = home.join(kth.select(key, open_reach.alias("reach")), key)
     others = _open_cells(ready, key, centres, radius)
     merged = first.unionByName(_visit(others, reference, layout, key, k))
-    return _top_k(merged, key, k)
+    answers = _top_k(merged, key, k).withColumnRenamed(key, "_asked")
+    shared = queries.select(F.col("vec"), F.col(key).alias("_asked"))
+    return asked.join(shared, "vec").select(key, "_asked").join(answers, "_asked").drop("_asked")
+
+
+def _first_k_of_equal(rows: DataFrame, k: int, key: str, features: str) -> DataFrame:
+    """At most k rows per equal vector, lowest keys first; salted so that no group is large."""
+    marked = rows.withColumn("_v", vector_to_array(features)).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(64)))
+    for group in (["_v", "_salt"], ["_v"]):
+        order = Window.partitionBy(*group).orderBy(key)
+        marked = marked.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
+    return marked.drop("_v", "_salt")
 
 
 def vote(neighbours: DataFrame, key: str, label: str = "label") -> DataFrame:

@@ -1 +1,308 @@
-"""Pending."""
+"""Fitted models: inference, benchmarks, segments, and the dashboard bundle."""
+
+from __future__ import annotations
+
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from roomledger.operators import bookings as b
+from roomledger.operators import evaluation, features, guests, inference, models, segmentation, stats
+from roomledger.plans import bundle
+from roomledger.plans.evaluation import KEPT_COLUMNS, LOGIT_COLUMNS, MATRIX_COLUMNS, REVENUE_COLUMNS
+from roomledger.plans.guests import agg_guest_features
+from roomledger.plans.registry import plan
+from roomledger.sources.testdata import load_bookings as load
+
+KEY = "reservation_id"
+
+
+# --- inference ---------------------------------------------------------------
+
+
+def _full(spark, path):
+    return features.logit_design(load(spark, path, *LOGIT_COLUMNS), keep=[KEY])
+
+
+def _kept(spark, path):
+    return features.logit_kept_design(load(spark, path, *KEPT_COLUMNS), keep=[KEY])
+
+
+@plan("st_logit_fit")
+def st_logit_fit(spark, path):
+    rows, names = _full(spark, path)
+    return inference.coefficients(spark, inference.fit_logit(rows, names), names)
+
+
+@plan("st_logit_fit_parsimonious")
+def st_logit_fit_parsimonious(spark, path):
+    rows, names = _kept(spark, path)
+    return inference.coefficients(spark, inference.fit_logit(rows, names), names)
+
+
+@plan("st_logit_fit_quality")
+def st_logit_fit_quality(spark, path):
+    parts = []
+    for kind, (rows, names) in (("full", _full(spark, path)), ("parsimonious", _kept(spark, path))):
+        quality = inference.fit_quality(spark, inference.fit_logit(rows, names))
+        parts.append(quality.select(F.lit(kind).alias("model"), "*"))
+    return parts[0].unionByName(parts[1])
+
+
+@plan("srt_abs_key")
+def srt_abs_key(spark, path):
+    return inference.by_strength(st_logit_fit(spark, path))
+
+
+@plan("st_vif")
+def st_vif(spark, path):
+    rows, names = _full(spark, path)
+    plain = inference.vif(spark, rows, names)
+    centred = inference.vif(spark, rows, names, centred=True)
+    return plain.join(centred.select("variable", F.col("vif").alias("vif_centred")), "variable")
+
+
+@plan("st_select_significant")
+def st_select_significant(spark, path):
+    return inference.significant(st_logit_fit_parsimonious(spark, path))
+
+
+@plan("st_select_variables")
+def st_select_variables(spark, path):
+    rows, names = _full(spark, path)
+    table = inference.coefficients(spark, inference.fit_logit(rows, names), names)
+    return inference.select_variables(table, inference.vif(spark, rows, names))
+
+
+def logit_holdout(spark, path) -> DataFrame:
+    """Parsimonious logit fitted on 75% and scored on the stratified rest."""
+    rows, names = _kept(spark, path)
+    split = features.holdout(rows, strata=["is_cancelled"])
+    model = inference.fit_logit(split.filter("is_test = 0"), names)
+    scored = inference.predict(model, split.filter("is_test = 1"), names, [KEY, "is_cancelled"])
+    return scored.withColumnRenamed("is_cancelled", "label")
+
+
+@plan("st_logit_predict")
+def st_logit_predict(spark, path):
+    return logit_holdout(spark, path)
+
+
+@plan("st_logit_validation")
+def st_logit_validation(spark, path):
+    scored = logit_holdout(spark, path)
+    sweep = evaluation.threshold_sweep(scored)
+    area = evaluation.auc(scored).select(F.round("auc", 4).alias("validation_auc"))
+    return evaluation.best_row(sweep, "f1", "threshold").join(F.broadcast(area))
+
+
+@plan("rg_interaction_logit")
+def rg_interaction_logit(spark, path):
+    rows = load(spark, path, "booking_source", "lead_time_days", "is_cancelled")
+    sources = features.levels(rows, ["booking_source"])["booking_source"][1:]
+    lead = F.col("lead_time_days").cast("double")
+    own = features.dummies({"booking_source": sources})
+    mixed = [
+        ((F.col("booking_source") == s).cast("double") * lead).alias(f"lead_x_{s}") for s in sources
+    ]
+    design = rows.select(lead.alias("lead_time_days"), *own, *mixed, "is_cancelled")
+    names = design.columns[:-1]
+    return inference.coefficients(spark, inference.fit_logit(design, names), names)
+
+
+@plan("rg_interaction")
+def rg_interaction(spark, path):
+    cols = ("booking_source", "avg_price_per_room", "competitor_avg_rate", "nights_booked", "is_cancelled")
+    rows = b.honoured(load(spark, path, *cols)).filter("avg_price_per_room > 0")
+    sources = features.levels(rows, ["booking_source"])["booking_source"][1:]
+    ratio = F.ln(F.col("avg_price_per_room") / F.greatest("competitor_avg_rate", F.lit(1.0)))
+    target = F.ln(F.greatest("nights_booked", F.lit(1)).cast("double"))
+    own = features.dummies({"booking_source": sources})
+    mixed = [((F.col("booking_source") == s).cast("double") * ratio).alias(f"ratio_x_{s}") for s in sources]
+    design = rows.select(ratio.alias("log_price_ratio"), *own, *mixed, target.alias("label"))
+    names = design.columns[:-1]
+    model = LinearRegression(solver="normal").fit(inference.assemble(design, names, ["label"]))
+    return models.linear_table(spark, model, names)
+
+
+# --- benchmarks --------------------------------------------------------------
+
+
+def cancellation_split(spark, path) -> models.Split:
+    matrix, names = features.cancellation_matrix(load(spark, path, *MATRIX_COLUMNS), keep=[KEY])
+    return models.make_split(matrix, names, "is_cancelled", stratify=True)
+
+
+def revenue_split(spark, path) -> models.Split:
+    matrix, names = features.revenue_matrix(load(spark, path, *REVENUE_COLUMNS), keep=[KEY])
+    return models.make_split(matrix, names, "total_amount", stratify=False)
+
+
+def _classifier(query: str, model: str) -> None:
+    @plan(query)
+    def run(spark, path):
+        return models.classifier_benchmark(cancellation_split(spark, path), [model])[0]
+
+
+for _query, _model in {
+    "ml_logreg": "Logistic Regression",
+    "ml_nb": "Naive Bayes",
+    "ml_knn": "KNN (k=15)",
+    "ml_dt": "Decision Tree",
+    "ml_svm": "Linear SVM",
+    "ml_rf": "Random Forest",
+    "ml_gbt": "Gradient Boosting",
+    "ml_gbt_leafy": "Boosting, leafy",
+    "ml_gbt_sub": "Boosting, subsampled",
+}.items():
+    _classifier(_query, _model)
+
+
+def _regressor(query: str, model: str) -> None:
+    @plan(query)
+    def run(spark, path):
+        return models.regressor_benchmark(revenue_split(spark, path), [model])[0]
+
+
+for _query, _model in {
+    "rg_linear": "Linear Regression",
+    "rg_ridge": "Ridge",
+    "rg_lasso": "Lasso",
+    "rg_rf": "Random Forest",
+    "rg_gbt_leafy": "Boosting, leafy",
+    "rg_gbt_sub": "Boosting, subsampled",
+}.items():
+    _regressor(_query, _model)
+
+
+@plan("ml_benchmark")
+def ml_benchmark(spark, path):
+    return models.classifier_benchmark(cancellation_split(spark, path))[0]
+
+
+@plan("rg_benchmark")
+def rg_benchmark(spark, path):
+    return models.regressor_benchmark(revenue_split(spark, path))[0]
+
+
+@plan("ml_importances")
+def ml_importances(spark, path):
+    split = cancellation_split(spark, path)
+    _, model = models.score_classifier(split, "Decision Tree")
+    return models.importances(spark, model, split.names)
+
+
+_STAY_COLUMNS = ("booking_source", "room_no", "room_type_assigned", "pax", "stayed_room_nights")
+
+
+def _tree(rows: DataFrame, depth: int, min_bucket: int) -> DataFrame:
+    """Shallow tree on the stay attributes, 60/40 split; scored hold-out rows."""
+    kinds = features.drop_first(features.levels(rows, ["booking_source", "room_type_assigned", "pax"]))
+    coded = rows.select(
+        KEY,
+        "label",
+        F.col("room_no").cast("double"),
+        F.col("stayed_room_nights").cast("double"),
+        *features.dummies(kinds),
+    )
+    names = [c for c in coded.columns if c not in (KEY, "label")]
+    split = features.holdout(coded, share=0.6, name="in_train")
+    rows = inference.assemble(split, names, [KEY, "label", "in_train"])
+    tree = DecisionTreeClassifier(labelCol="label", maxDepth=depth, minInstancesPerNode=min_bucket, seed=models.SEED)
+    model = tree.fit(rows.filter("in_train = 1"))
+    return model.transform(rows.filter("in_train = 0")).select("label", F.col("prediction").cast("int").alias("prediction"))
+
+
+@plan("ml_dt_stayed")
+def ml_dt_stayed(spark, path):
+    """Stayed or not from the stay attributes; depth 5, splits of 10 rows or more."""
+    rows = load(spark, path, KEY, *_STAY_COLUMNS, "total_amount").withColumn("label", features.stayed_flag())
+    return evaluation.sensitivity(_tree(rows, depth=5, min_bucket=3))
+
+
+@plan("rg_tier_tree")
+def rg_tier_tree(spark, path):
+    """High or low amount from the stay attributes; depth 4, splits of 20 rows or more."""
+    rows = b.honoured(load(spark, path, KEY, *_STAY_COLUMNS, "total_amount", "is_cancelled"))
+    tiers = stats.above_median(rows, "total_amount", "tier")
+    labelled = tiers.withColumn("label", (F.col("tier") == "High").cast("int"))
+    return evaluation.class_report(_tree(labelled, depth=4, min_bucket=7))
+
+
+@plan("rg_stepwise")
+def rg_stepwise(spark, path):
+    """Backward elimination on 60% of the honoured stays, metrics on the rest."""
+    rows = b.honoured(load(spark, path, KEY, *_STAY_COLUMNS, "total_amount", "is_cancelled"))
+    kinds = features.drop_first(features.levels(rows, ["booking_source", "room_type_assigned", "pax"]))
+    coded = rows.select(
+        KEY, "total_amount", F.col("room_no").cast("double"), F.col("stayed_room_nights").cast("double"), *features.dummies(kinds)
+    )
+    split = features.holdout(coded, share=0.6, name="in_train")
+    terms = {
+        **{c: [f"{c}_{v}" for v in values] for c, values in kinds.items()},
+        "room_no": ["room_no"],
+        "stayed_room_nights": ["stayed_room_nights"],
+    }
+    _, chosen = inference.backward_selection(spark, split.filter("in_train = 1"), terms, "total_amount")
+    tested = inference.linear_score(split.filter("in_train = 0"), chosen)
+    metrics = evaluation.regression_metrics(tested, "total_amount", "prediction")
+    return chosen.join(F.broadcast(metrics))
+
+
+# --- segments ----------------------------------------------------------------
+
+
+def _guest_vectors(spark, path) -> DataFrame:
+    return segmentation.scaled_vectors(agg_guest_features(spark, path), segmentation.GUEST_FEATURES)
+
+
+def _booking_vectors(spark, path) -> DataFrame:
+    rows = load(spark, path, KEY, *segmentation.BOOKING_FEATURES).filter("total_lodging_amount <> 0")
+    return segmentation.scaled_vectors(
+        features.complete(rows, segmentation.BOOKING_FEATURES), segmentation.BOOKING_FEATURES, population=False
+    )
+
+
+@plan("seg_kmeans")
+def seg_kmeans(spark, path):
+    vectors = _guest_vectors(spark, path)
+    assigned = segmentation.best_kmeans(vectors).transform(vectors)
+    return assigned.select("primary_guest_name", *segmentation.GUEST_FEATURES, "segment")
+
+
+@plan("agg_segment_profile")
+def agg_segment_profile(spark, path):
+    return segmentation.profile(seg_kmeans(spark, path), segmentation.GUEST_FEATURES)
+
+
+@plan("seg_elbow")
+def seg_elbow(spark, path):
+    return segmentation.elbow(spark, _booking_vectors(spark, path))
+
+
+@plan("seg_pca")
+def seg_pca(spark, path):
+    projected, explained = segmentation.project(_guest_vectors(spark, path), ["primary_guest_name"])
+    return projected.withColumn("explained_variance", F.lit(round(sum(explained), 4)))
+
+
+@plan("seg_hier")
+def seg_hier(spark, path):
+    grouped = segmentation.divisive(_booking_vectors(spark, path))
+    return segmentation.profile(grouped, segmentation.BOOKING_FEATURES, "hc_cluster").withColumnRenamed("n_guests", "n").withColumnRenamed(
+        "share_of_guests", "share"
+    )
+
+
+# --- dashboard ---------------------------------------------------------------
+
+
+@plan("bi_dashboard_bundle")
+def bi_dashboard_bundle(spark, path):
+    return bundle.dashboard(
+        load(spark, path),
+        snapshot=bundle.SNAPSHOT,
+        classifiers=("Logistic Regression", "Naive Bayes", "Decision Tree"),
+        regressors=("Linear Regression", "Ridge", "Lasso"),
+    )
