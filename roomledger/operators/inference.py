@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from roomledger.functions import labels
 from roomledger.functions.exact import no_negative_zero
+from roomledger.session import training_rows
 
 Z95 = 1.959963984540054  # Fixed value: 97.5% point of the standard normal.
 HIGH_VIF = 5.0
@@ -33,11 +34,13 @@ def assemble(df: DataFrame, names: Sequence[str], keep: Sequence[str] = ()) -> D
 
 def fit_logit(df: DataFrame, names: Sequence[str], label: str = "is_cancelled") -> GeneralizedLinearRegressionModel:
     """Unregularised logit by iteratively reweighted least squares."""
-    rows = assemble(df, names, [label])
+    rows = training_rows(assemble(df, names, [label]))
     glr = GeneralizedLinearRegression(
         family="binomial", link="logit", labelCol=label, featuresCol="features", maxIter=50, tol=1e-8
     )
-    return glr.fit(rows)
+    model = glr.fit(rows)
+    rows.unpersist()
+    return model
 
 
 def coefficients(

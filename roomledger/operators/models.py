@@ -6,7 +6,6 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.ml.base import Model
 from pyspark.ml.classification import (
     DecisionTreeClassifier,
@@ -16,6 +15,7 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
@@ -23,8 +23,7 @@ from pyspark.sql import functions as F
 
 from roomledger.functions.exact import no_negative_zero
 from roomledger.operators import evaluation, features, neighbours
-from roomledger.operators.inference import assemble
-from roomledger.session import checkpoint_dir
+from roomledger.session import training_rows
 
 SEED = 42
 KEY = "reservation_id"
@@ -52,33 +51,50 @@ class Split:
     names: list[str]
     n_train: int
     label_sd: float
+    stored: DataFrame
 
     def release(self) -> None:
-        self.train.unpersist()
-        self.test.unpersist()
+        self.stored.unpersist()
 
 
 def make_split(matrix: DataFrame, names: Sequence[str], label: str, stratify: bool, share: float = 0.25) -> Split:
     """Exact hold-out, z-scores fitted on the training rows, vectors, one stored copy."""
-    checkpoint_dir(matrix.sparkSession)  # boosted trees cut their lineage there
-    marked = features.holdout(matrix, share, [label] if stratify else [], KEY, SEED)
-    scaled = features.standardise(
-        marked.select(KEY, "is_test", *[F.col(f"`{n}`").alias(f"z{i}") for i, n in enumerate(names)]),
-        [f"z{i}" for i in range(len(names))],
-        fit_on=marked.filter("is_test = 0").select(*[F.col(f"`{n}`").alias(f"z{i}") for i, n in enumerate(names)]),
+    marked = training_rows(features.holdout(matrix, share, [label] if stratify else [], KEY, SEED))
+    train = marked.filter("is_test = 0")
+    columns = [F.col(f"`{n}`") for n in names]
+    # One row: the size and label spread, then mean and sd per feature.
+    n, sd, *fitted = train.agg(
+        F.count(F.lit(1)),
+        F.coalesce(F.stddev_samp(label), F.lit(1.0)),
+        *[F.avg(c) for c in columns],
+        *[F.stddev_pop(c) for c in columns],
+    ).first()
+    means, sds = fitted[: len(names)], fitted[len(names) :]
+    plain = [c.cast("double").alias(f"x{i}") for i, c in enumerate(columns)]
+    scaled = [
+        ((c - F.lit(m)) / F.lit(s) if s else F.lit(0.0)).alias(f"z{i}")
+        for i, (c, m, s) in enumerate(zip(columns, means, sds))
+    ]
+    rows = marked.select(KEY, "is_test", F.col(label).cast("double").alias("label"), *plain, *scaled)
+    for prefix, out in (("x", "features"), ("z", "scaled")):
+        inputs = [f"{prefix}{i}" for i in range(len(names))]
+        rows = VectorAssembler(inputCols=inputs, outputCol=out).transform(rows).drop(*inputs)
+    stored = training_rows(rows)
+    marked.unpersist()
+    return Split(
+        stored.filter("is_test = 0").drop("is_test"), stored.filter("is_test = 1").drop("is_test"), list(names), n, sd, stored
     )
-    plain = assemble(marked, names, [KEY, "is_test", label]).withColumnRenamed(label, "label")
-    vectors = assemble(scaled, [f"z{i}" for i in range(len(names))], [KEY]).withColumnRenamed("features", "scaled")
-    both = plain.join(vectors, KEY).withColumn("label", F.col("label").cast("double"))
-    stored = both.persist(StorageLevel.MEMORY_AND_DISK)
-    train = stored.filter("is_test = 0").drop("is_test")
-    test = stored.filter("is_test = 1").drop("is_test")
-    n, sd = train.agg(F.count(F.lit(1)), F.coalesce(F.stddev_samp("label"), F.lit(1.0))).first()
-    return Split(train, test, list(names), n, sd)
-
-
-def classifiers(split: Split) -> dict[str, tuple[str, Callable]]:
-    """Name -> (feature column, estimator); C of the library maps to 1 / (C n)."""
+
+
+def _rounds(settings: dict, rounds: int | None) -> dict:
+    return settings if rounds is None else {**settings, "maxIter": rounds}
+
+
+def classifiers(split: Split, rounds: int | None = None) -> dict[str, tuple[str, Callable]]:
+    """Name -> (feature column, estimator); C of the library maps to 1 / (C n).
+
+    ``rounds`` replaces the number of boosting rounds and forest trees.
+    """
     n = split.n_train
     common = {"labelCol": "label"}
     return {
@@ -93,19 +109,19 @@ def classifiers(split: Split) -> dict[str, tuple[str, Callable]]:
         "Decision Tree": ("features", DecisionTreeClassifier(maxDepth=TREE_DEPTH, seed=SEED, **common)),
         "Linear SVM": (
             "scaled",
-            LinearSVC(featuresCol="scaled", regParam=1.0 / (SVM_C * n), standardization=False, maxIter=1000, **common),
+            LinearSVC(featuresCol="scaled", regParam=1.0 / (SVM_C * n), standardization=False, maxIter=100, tol=1e-4, **common),
         ),
         "Random Forest": (
             "features",
-            RandomForestClassifier(numTrees=FOREST_TREES, maxDepth=MAX_TREE_DEPTH, seed=SEED, **common),
+            RandomForestClassifier(numTrees=rounds or FOREST_TREES, maxDepth=MAX_TREE_DEPTH, seed=SEED, **common),
         ),
-        "Gradient Boosting": ("features", GBTClassifier(seed=SEED, **BOOST, **common)),
-        "Boosting, leafy": ("features", GBTClassifier(seed=SEED, **LEAFY, **common)),
-        "Boosting, subsampled": ("features", GBTClassifier(seed=SEED, **SUBSAMPLED, **common)),
+        "Gradient Boosting": ("features", GBTClassifier(seed=SEED, **_rounds(BOOST, rounds), **common)),
+        "Boosting, leafy": ("features", GBTClassifier(seed=SEED, **_rounds(LEAFY, rounds), **common)),
+        "Boosting, subsampled": ("features", GBTClassifier(seed=SEED, **_rounds(SUBSAMPLED, rounds), **common)),
     }
 
 
-def regressors(split: Split) -> dict[str, tuple[str, Callable]]:
+def regressors(split: Split, rounds: int | None = None) -> dict[str, tuple[str, Callable]]:
     """Linear models on scaled features; ridge's penalty is rescaled by the label sd."""
     n, sd = split.n_train, split.label_sd
     common = {"labelCol": "label"}
@@ -119,16 +135,16 @@ def regressors(split: Split) -> dict[str, tuple[str, Callable]]:
         "Lasso": ("scaled", LinearRegression(regParam=LASSO_ALPHA, elasticNetParam=1.0, solver="l-bfgs", tol=1e-9, **linear)),
         "Random Forest": (
             "features",
-            RandomForestRegressor(numTrees=FOREST_TREES, maxDepth=MAX_TREE_DEPTH, seed=SEED, **common),
+            RandomForestRegressor(numTrees=rounds or FOREST_TREES, maxDepth=MAX_TREE_DEPTH, seed=SEED, **common),
         ),
-        "Boosting, leafy": ("features", GBTRegressor(seed=SEED, **REG_LEAFY, **common)),
-        "Boosting, subsampled": ("features", GBTRegressor(seed=SEED, **REG_SUBSAMPLED, **common)),
+        "Boosting, leafy": ("features", GBTRegressor(seed=SEED, **_rounds(REG_LEAFY, rounds), **common)),
+        "Boosting, subsampled": ("features", GBTRegressor(seed=SEED, **_rounds(REG_SUBSAMPLED, rounds), **common)),
     }
 
 
-def score_classifier(split: Split, name: str) -> tuple[DataFrame, Model | None]:
+def score_classifier(split: Split, name: str, rounds: int | None = None) -> tuple[DataFrame, Model | None]:
     """Test rows with ``label``, ``score`` and ``prediction``, and the fitted model."""
-    column, estimator = classifiers(split)[name]
+    column, estimator = classifiers(split, rounds)[name]
     if estimator is None:
         found = neighbours.nearest(split.train, split.test, KNN_K, KEY, "label", column)
         voted = neighbours.vote(found, KEY)
@@ -141,8 +157,8 @@ def score_classifier(split: Split, name: str) -> tuple[DataFrame, Model | None]:
     return out.select(KEY, "label", score.alias("score"), "prediction"), model
 
 
-def score_regressor(split: Split, name: str) -> tuple[DataFrame, Model]:
-    _, estimator = regressors(split)[name]
+def score_regressor(split: Split, name: str, rounds: int | None = None) -> tuple[DataFrame, Model]:
+    _, estimator = regressors(split, rounds)[name]
     model = estimator.fit(split.train)
     return model.transform(split.test).select(KEY, "label", "prediction"), model
 
@@ -158,21 +174,25 @@ def regressor_metrics(scored: DataFrame) -> DataFrame:
     return evaluation.regression_metrics(scored, by=["model"]).drop("r2_corr").orderBy("rmse", "model")
 
 
-def classifier_benchmark(split: Split, names: Sequence[str] | None = None) -> tuple[DataFrame, dict[str, Model]]:
+def classifier_benchmark(
+    split: Split, names: Sequence[str] | None = None, rounds: int | None = None
+) -> tuple[DataFrame, dict[str, Model]]:
     """The metrics table over the named (default all) models, and the models."""
     parts, fitted = [], {}
     for name in names or classifiers(split):
-        scored, model = score_classifier(split, name)
+        scored, model = score_classifier(split, name, rounds)
         parts.append(scored.select(F.lit(name).alias("model"), "label", "score", "prediction"))
         if model is not None:
             fitted[name] = model
     return classifier_metrics(reduce(DataFrame.unionByName, parts)), fitted
 
 
-def regressor_benchmark(split: Split, names: Sequence[str] | None = None) -> tuple[DataFrame, dict[str, Model]]:
+def regressor_benchmark(
+    split: Split, names: Sequence[str] | None = None, rounds: int | None = None
+) -> tuple[DataFrame, dict[str, Model]]:
     parts, fitted = [], {}
     for name in names or regressors(split):
-        scored, fitted[name] = score_regressor(split, name)
+        scored, fitted[name] = score_regressor(split, name, rounds)
         parts.append(scored.select(F.lit(name).alias("model"), "label", "prediction"))
     return regressor_metrics(reduce(DataFrame.unionByName, parts)), fitted
 

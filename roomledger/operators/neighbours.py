@@ -22,6 +22,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from roomledger.session import training_rows
+
 BLOCK = 8192
 MAX_CELLS = 256
 
@@ -30,7 +32,7 @@ def nearest(
     train: DataFrame, test: DataFrame, k: int, key: str, label: str, features: str = "features", seed: int = 42
 ) -> DataFrame:
     """(key, neighbour, label, distance, rank) of the k nearest train rows per test row."""
-    known = _first_k_of_equal(train.select(key, label, features), k, key, features).persist()
+    known = training_rows(_first_k_of_equal(train.select(key, label, features), k, key, features))
     cells = max(1, min(MAX_CELLS, int(math.sqrt(known.count() / 50))))
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol=features, predictionCol="cell").fit(known)
     centres = np.array([c.tolist() for c in model.clusterCenters()])
@@ -42,7 +44,7 @@ def nearest(
     # One row per centroid: at most MAX_CELLS rows, safe to broadcast.
     sizes = placed.groupBy("cell").agg(F.max("_d").alias("radius"), F.count(F.lit(1)).alias("size"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
-    layout = sizes.select("cell", "radius", blocks.alias("blocks"))
+    layout = training_rows(sizes.select("cell", "radius", blocks.alias("blocks")))
     reference = placed.drop("_d").join(F.broadcast(layout), "cell").select(
         "n_key", "n_label", "vec", "cell", F.pmod(F.xxhash64("n_key"), F.col("blocks")).cast("int").alias("block")
     ).persist()
@@ -50,9 +52,9 @@ def nearest(
     radius = np.array([bounds.get(i, -np.inf) for i in range(len(centres))])
 
     asked = _to_arrays(test.select(key, features), features)
-    queries = asked.groupBy("vec").agg(F.min(key).alias(key)).persist()
-    home = _home(queries, key, centres, bounds)
-    first = _visit(home.withColumn("cell", F.col("home")), reference, layout, key, k)
+    queries = asked.groupBy("vec").agg(F.min(key).alias(key))
+    home = training_rows(_home(queries, key, centres, bounds))
+    first = training_rows(_visit(home.withColumn("cell", F.col("home")), reference, layout, key, k))
     kth = first.groupBy(key).agg(
         F.max("distance").alias("reach"), F.count(F.lit(1)).alias("found")
     )
@@ -61,7 +63,7 @@ def nearest(
     others = _open_cells(ready, key, centres, radius)
     merged = first.unionByName(_visit(others, reference, layout, key, k))
     answers = _top_k(merged, key, k).withColumnRenamed(key, "_asked")
-    shared = queries.select(F.col("vec"), F.col(key).alias("_asked"))
+    shared = home.select(F.col("vec"), F.col(key).alias("_asked"))
     return asked.join(shared, "vec").select(key, "_asked").join(answers, "_asked").drop("_asked")
 
 

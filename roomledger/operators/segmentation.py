@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import vector_to_array
@@ -13,6 +12,7 @@ from pyspark.sql import functions as F
 
 from roomledger.operators.features import standardise
 from roomledger.operators.inference import assemble
+from roomledger.session import training_rows
 
 # Features, number of segments and restarts.
 GUEST_FEATURES = ("bookings", "total_revenue", "avg_revenue", "cancel_rate", "nights")
@@ -33,7 +33,7 @@ def scaled_vectors(df: DataFrame, columns: Sequence[str], population: bool = Tru
     """All columns plus a ``features`` vector of z-scores, stored for repeated passes."""
     copies = {f"_z{i}": F.col(c).cast("double") for i, c in enumerate(columns)}
     scaled = standardise(df.withColumns(copies), list(copies), population=population)
-    return assemble(scaled, list(copies), df.columns).persist(StorageLevel.MEMORY_AND_DISK)
+    return training_rows(assemble(scaled, list(copies), df.columns))
 
 
 def best_kmeans(vectors: DataFrame, k: int = SEGMENTS, restarts: int = RESTARTS, seed: int = SEED) -> KMeansModel:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings a job needs for right results, plus adaptive execution, which is
 # what splits skewed joins and merges small shuffle partitions at run time.
@@ -55,3 +57,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path next to the checkpoints, visible to every executor."""
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+ROWS_PER_PARTITION = 50_000
+
+
+def training_rows(df: DataFrame) -> DataFrame:
+    """Rows for an iterative fit: lineage cut, small partitions merged, stored.
+
+    An iteration is one job over these rows, so a short lineage and no needless tasks
+    matter more than anything else on small data; on large data nothing is merged.
+    """
+    checkpoint_dir(df.sparkSession)
+    cut = df.checkpoint()
+    wanted = max(1, math.ceil(cut.count() / ROWS_PER_PARTITION))
+    return cut.coalesce(wanted).persist(StorageLevel.MEMORY_AND_DISK)
