@@ -33,7 +33,7 @@ def nearest(
 ) -> DataFrame:
     """(key, neighbour, label, distance, rank) of the k nearest train rows per test row."""
     known = training_rows(_first_k_of_equal(train.select(key, label, features), k, key, features))
-    cells = max(1, min(MAX_CELLS, int(math.sqrt(known.count() / 50))))
+    cells = max(2, min(MAX_CELLS, int(math.sqrt(known.count() / 50))))
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol=features, predictionCol="cell").fit(known)
     centres = np.array([c.tolist() for c in model.clusterCenters()])
 

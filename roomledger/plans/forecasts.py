@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from roomledger.operators import forecasting as fc
-from roomledger.plans.registry import plan, sum_money
+from roomledger.plans.registry import half_up, plan, sum_money
 from roomledger.sources.testdata import load_bookings as load
 
 
@@ -18,7 +18,7 @@ _SERIES = f""", ts AS (SELECT check_in_date AS ds, {sum_money('total_amount')} A
  sp AS (SELECT MIN(ds) AS first, MAX(ds) AS last FROM ts),
  co AS (SELECT CAST(last - 90 - i * 90 AS DATE) AS cutoff FROM sp, (SELECT CAST(UNNEST(RANGE(0, 1000)) AS INT) AS i) WHERE CAST(last - 90 - i * 90 AS DATE) >= CAST(first + 450 AS DATE)),
  cv AS (SELECT cutoff, ds, CAST(ds - cutoff AS INT) AS horizon, y, y_lag AS yhat FROM lg JOIN co ON ds > cutoff AND ds <= CAST(cutoff + 90 AS DATE) WHERE y_lag IS NOT NULL),
- cm AS (SELECT horizon, SQRT(AVG((y - yhat) * (y - yhat))) AS rmse, AVG(ABS(y - yhat)) AS mae, AVG(ABS(y - yhat) / NULLIF(ABS(y), 0)) AS mape FROM cv GROUP BY horizon)"""
+ cm AS (SELECT horizon, SQRT(AVG((y - yhat) * (y - yhat))) AS rmse, {half_up('SUM(ABS(CAST(ROUND((y - yhat) * 100) AS BIGINT)))', '(COUNT(*) * 100)', 4)} AS mae, AVG(ABS(y - yhat) / NULLIF(ABS(y), 0)) AS mape FROM cv GROUP BY horizon)"""
 
 
 @plan("fc_daily_series", _SERIES + " SELECT ds, y FROM ts ORDER BY ds")
@@ -56,12 +56,12 @@ def fc_cutoffs(spark, path):
 
 @plan(
     "fc_cv_metrics",
-    _SERIES + " SELECT horizon, ROUND(rmse, 4) AS rmse, ROUND(mae, 4) AS mae, ROUND(mape, 6) AS mape FROM cm",
+    _SERIES + " SELECT horizon, ROUND(rmse, 4) AS rmse, mae, ROUND(mape, 6) AS mape FROM cm",
 )
 def fc_cv_metrics(spark, path):
     metrics = fc.cv_metrics(fc.naive_cv(series(spark, path)))
     return metrics.select(
-        "horizon", F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), F.round("mape", 6).alias("mape")
+        "horizon", F.round("rmse", 4).alias("rmse"), "mae", F.round("mape", 6).alias("mape")
     )
 
 

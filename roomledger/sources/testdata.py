@@ -9,12 +9,9 @@ otherwise shuffles, with adaptive splitting of skewed keys.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomledger.functions import labels
 from roomledger.operators.guests import guest_history
 from roomledger.sources.schema import COLUMNS
 
@@ -36,163 +33,119 @@ FROM_PART = frozenset(
 )
 FROM_LINES = FROM_PART | {"nights_booked", "stayed_room_nights", "check_out_date"}
 
+# The columns that are read; a given schema saves reading file footers first.
+SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_mktsegment string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint",
+    "part": "p_partkey bigint, p_type string, p_retailprice double",
+}
+
 # How the adapter maps order attributes to booking attributes.
-SOURCE_OF_PRIORITY = {
-    "1-URGENT": "Corporate",
-    "2-HIGH": "Direct / Front Desk",
-    "3-MEDIUM": "OTA",
-    "4-NOT SPECIFIED": "Travel Agent",
+SOURCE = (
+    "CASE o_orderpriority WHEN '1-URGENT' THEN 'Corporate' WHEN '2-HIGH' THEN 'Direct / Front Desk' "
+    "WHEN '3-MEDIUM' THEN 'OTA' WHEN '4-NOT SPECIFIED' THEN 'Travel Agent' ELSE 'Web' END"
+)
+REQUESTS = "array('None', 'Early Check-In', 'Late Check-Out', 'High Floor', 'Extra Bed', 'Quiet Room')"
+MEALS = "array('Breakfast Included', 'No Meal', 'Half Board', 'Full Board')"
+DELUXE, PREMIUM = "'Maple (Deluxe)'", "'Mahogany (Premium)'"
+
+# Booking column -> expression over the joined and derived columns. Amounts end in
+# whole cents (_c) until they are shown.
+EXPRESSIONS = {
+    "hotel": "'Test Inn'",
+    "reservation_id": "concat('R', cast(100000 + order_key AS string))",
+    "booking_date": "date_sub(check_in, lead)",
+    "check_in_date": "check_in",
+    "check_out_date": "date_add(check_in, greatest(if(cancelled = 1, 0, nights), 1))",
+    "booking_source": "source",
+    "market_segment": (
+        "CASE source WHEN 'OTA' THEN 'Online Leisure' WHEN 'Web' THEN 'Online Leisure' WHEN 'Corporate' THEN 'Corporate' "
+        "WHEN 'Travel Agent' THEN 'Group / Agent' ELSE 'Direct' END"
+    ),
+    "corporate_name": "CASE WHEN source IN ('Corporate', 'OTA') THEN c_mktsegment END",
+    "lead_time_days": "lead",
+    "primary_guest_name": "c_name",
+    "n_adults": "cast(1 + h % 3 AS int)",
+    "n_children": "cast((h % 7) % 3 AS int)",
+    "pax": "concat(1 + h % 3, '(A) ', (h % 7) % 3, '(C)')",
+    "n_special_requests": "cast(h % 6 AS int)",
+    "special_request_detail": f"{REQUESTS}[cast(h % 6 AS int)]",
+    "room_no": "cast(201 + h % 14 AS int)",
+    "room_type_reserved": f"if(coalesce(p_type, '') IN ('PROMO', 'LARGE') AND h % 17 <> 0, {PREMIUM}, {DELUXE})",
+    "room_type_assigned": f"if(coalesce(p_type, '') IN ('PROMO', 'LARGE'), {PREMIUM}, {DELUXE})",
+    "got_room_upgrade": "if(h % 17 = 0, 1, 0)",
+    "meal_plan": f"{MEALS}[cast(h % 4 AS int)]",
+    "nights_booked": "nights",
+    "stayed_room_nights": "if(cancelled = 1, 0, nights)",
+    "avg_price_per_room": "cast(rate_c AS double) / 100",
+    "competitor_avg_rate": "cast(rival_c AS double) / 100",
+    "rate_premium_pct": "round(cast(rate_c - rival_c AS double) / rival_c * 100, 2)",
+    "payment_mode": "if(pays_direct OR h % 100 >= 62, 'Pay at Hotel', 'Prepaid')",
+    "ota_commission_pct": "cast(commission10 AS double) / 10",
+    "total_lodging_amount": "cast(lodging_c AS double) / 100",
+    "total_lodging_taxes": "cast(total_c - lodging_c AS double) / 100",
+    "total_amount": "cast(total_c AS double) / 100",
+    "net_revenue": "cast(cast(round(total_c * (1000 - commission10) / 1000) AS bigint) AS double) / 100",
+    "paid_at_hotel_amount": "if(pays_direct, cast(total_c AS double) / 100, 0.0D)",
+    "paid_to_ota_amount": "if(pays_direct, 0.0D, cast(total_c AS double) / 100)",
+    "is_cancelled": "cancelled",
+    "cancel_days_before_arrival": "if(cancelled = 1, cast(floor(lead * (h % 101) / 100) AS int), -1)",
 }
-REQUEST_TEXTS = ("None", "Early Check-In", "Late Check-Out", "High Floor", "Extra Bed", "Quiet Room")
-MEAL_TEXTS = ("Breakfast Included", "No Meal", "Half Board", "Full Board")
-DELUXE, PREMIUM = "Maple (Deluxe)", "Mahogany (Premium)"
 
 
 def load_bookings(spark: SparkSession, path: str, *columns: str) -> DataFrame:
     """Bookings with the given columns (all 37 when none are named)."""
     wanted = list(columns) or list(COLUMNS)
     needed = set(wanted)
-    with_history = bool(needed & HISTORY)
-
     base = _base(spark, path, needed)
-    exprs = _expressions(needed)
-    plain = [exprs[c].alias(c) for c in wanted if c not in HISTORY]
-    if not with_history:
-        return base.select(*plain)
-
-    extra = {
-        "_g": F.col("guest"),
-        "_day": F.col("check_in"),
-        "_k": F.col("order_key"),
-        "_x": F.col("cancelled"),
-    }
-    rows = base.select(*plain, *[expr.alias(name) for name, expr in extra.items()])
-    return guest_history(rows, "_g", ("_day", "_k"), "_x").select(*wanted)
+    plain = [f"{EXPRESSIONS[c]} AS {c}" for c in wanted if c not in HISTORY]
+    if not needed & HISTORY:
+        return base.selectExpr(*plain)
+    order = ["c_name AS _g", "check_in AS _day", "order_key AS _k", "cancelled AS _x"]
+    return guest_history(base.selectExpr(*plain, *order), "_g", ("_day", "_k"), "_x").select(*wanted)
 
 
 def _base(spark: SparkSession, path: str, needed: set[str]) -> DataFrame:
-    def table(name: str) -> DataFrame:
-        return spark.read.parquet(f"{path}/{name}.parquet")
-
-    key = F.col("o_orderkey")
-    orders = table("orders").select(
-        "o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("check_in"), "o_orderpriority"
+    def table(name: str, *exprs: str) -> DataFrame:
+        return spark.read.schema(SCHEMAS[name]).parquet(f"{path}/{name}.parquet").selectExpr(*exprs)
+
+    base = table(
+        "orders",
+        "o_orderkey AS order_key",
+        "o_custkey",
+        "cast(o_orderdate AS date) AS check_in",
+        f"{SOURCE} AS source",
+        "cast((o_orderkey * 7919) % 91 AS int) AS lead",
+        "(o_orderkey * 104729) % 1000 AS u",
+        "(o_orderkey * 1299709) % 997 AS h",
     )
-    customer = table("customer").select("c_custkey", "c_name", "c_mktsegment")
-    base = orders.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-
+    customer = table("customer", "c_custkey", "c_name", "c_mktsegment")
+    base = base.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    derived = [
+        "*",
+        "source IN ('Corporate', 'Direct / Front Desk') AS pays_direct",
+        "if(source IN ('OTA', 'Web'), cast(150 + h % 51 AS int), 0) AS commission10",
+        "if(u < 60 + 5 * lead + if(source IN ('OTA', 'Web'), 150, 0), 1, 0) AS cancelled",
+    ]
     if needed & FROM_LINES:
         lines = (
-            table("lineitem")
+            table("lineitem", "l_orderkey", "l_partkey")
             .groupBy("l_orderkey")
             .agg(F.count(F.lit(1)).alias("n_lines"), F.min("l_partkey").alias("first_part"))
         )
-        base = base.join(lines, key == F.col("l_orderkey"), "left")
+        base = base.join(lines, F.col("order_key") == F.col("l_orderkey"), "left")
+        derived.append("cast(least(coalesce(n_lines, 1), 7) AS int) AS nights")
     if needed & FROM_PART:
-        part = table("part").select("p_partkey", "p_type", "p_retailprice")
+        part = table("part", "p_partkey", "p_type", "cast(round(coalesce(p_retailprice, 1000.0D) * 100) AS bigint) AS p_cents")
         base = base.join(part, F.col("first_part") == F.col("p_partkey"), "left")
-
-    source = F.lit("Web")
-    for priority, name in SOURCE_OF_PRIORITY.items():
-        source = F.when(F.col("o_orderpriority") == priority, name).otherwise(source)
-    base = base.withColumns(
-        {
-            "order_key": key,
-            "guest": F.col("c_name"),
-            "account": F.col("c_mktsegment"),
-            "source": source,
-            "lead": ((key * 7919) % 91).cast("int"),
-            "u": (key * 104729) % 1000,
-            "h": (key * 1299709) % 997,
-        }
-    ).withColumns(
-        {
-            "is_online": F.col("source").isin("OTA", "Web"),
-            "pays_direct": F.col("source").isin("Corporate", "Direct / Front Desk"),
-        }
-    )
-    risk = 60 + 5 * F.col("lead") + F.when(F.col("is_online"), 150).otherwise(0)
-    base = base.withColumn("cancelled", F.when(F.col("u") < risk, 1).otherwise(0))
-    if needed & FROM_LINES:
-        nights = F.least(F.coalesce("n_lines", F.lit(1)), F.lit(7)).cast("int")
-        base = base.withColumn("nights", nights)
+        # An order without a known part has the default rate.
+        derived.append("coalesce(p_cents, 100000) AS rate_c")
+    base = base.selectExpr(*derived)
     if needed & FROM_PART:
-        base = _amounts(base)
+        base = base.selectExpr(
+            "*",
+            "cast(floor(rate_c * (90 + h % 31) / 100) AS bigint) AS rival_c",
+            "if(cancelled = 1, 0, rate_c * nights) AS lodging_c",
+        ).selectExpr("*", "lodging_c + cast(round(lodging_c * 12 / 100) AS bigint) AS total_c")
     return base
-
-
-def _amounts(base: DataFrame) -> DataFrame:
-    """Rates and amounts in whole cents."""
-    rate = F.round(F.coalesce("p_retailprice", F.lit(1000.0)) * 100).cast("long")
-    rival = F.floor(F.col("rate_c") * (90 + F.col("h") % 31) / 100).cast("long")
-    commission = F.when(F.col("is_online"), (150 + F.col("h") % 51).cast("int")).otherwise(0)
-    stay = F.when(F.col("cancelled") == 1, F.lit(0).cast("long")).otherwise(
-        F.col("rate_c") * F.col("nights")
-    )
-    net = F.round(F.col("total_c") * (1000 - F.col("commission10")) / 1000).cast("long")
-    return (
-        base.withColumns({"rate_c": rate, "commission10": commission})
-        .withColumns({"rival_c": rival, "lodging_c": stay})
-        .withColumn("tax_c", F.round(F.col("lodging_c") * 12 / 100).cast("long"))
-        .withColumn("total_c", F.col("lodging_c") + F.col("tax_c"))
-        .withColumn("net_c", net)
-    )
-
-
-def _pick(texts: tuple[str, ...], index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(t) for t in texts]), (index + 1).cast("int"))
-
-
-def _expressions(needed: set[str]) -> dict[str, Column]:
-    col = F.col
-    h, cancelled = col("h"), col("cancelled") == 1
-
-    def amount(name: str) -> Column:
-        return col(name).cast("double") / 100
-
-    adults, children = (1 + h % 3).cast("int"), ((h % 7) % 3).cast("int")
-    premium_part = F.coalesce("p_type", F.lit("STANDARD")).isin("PROMO", "LARGE")
-    upgraded = h % 17 == 0
-    commission10 = F.when(col("is_online"), (150 + h % 51).cast("int")).otherwise(0)
-    stayed = F.when(cancelled, 0).otherwise(col("nights"))
-    days_before = F.floor(col("lead") * (h % 101) / 100).cast("int")
-    premium = (col("rate_c") - col("rival_c")).cast("double") / col("rival_c") * 100
-    zero = F.lit(0.0)
-    exprs = {
-        "hotel": F.lit("Test Inn"),
-        "reservation_id": labels.reservation_label(col("order_key")),
-        "booking_date": F.date_sub("check_in", col("lead")),
-        "check_in_date": col("check_in"),
-        "check_out_date": F.date_add("check_in", F.greatest(stayed, F.lit(1))),
-        "booking_source": col("source"),
-        "market_segment": labels.lookup(col("source"), labels.SEGMENT_OF_SOURCE),
-        "corporate_name": F.when(col("source").isin("Corporate", "OTA"), col("account")),
-        "lead_time_days": col("lead"),
-        "primary_guest_name": col("guest"),
-        "n_adults": adults,
-        "n_children": children,
-        "pax": F.format_string("%d(A) %d(C)", adults, children),
-        "n_special_requests": (h % 6).cast("int"),
-        "special_request_detail": _pick(REQUEST_TEXTS, h % 6),
-        "room_no": (201 + h % 14).cast("int"),
-        "room_type_reserved": F.when(premium_part & ~upgraded, PREMIUM).otherwise(DELUXE),
-        "room_type_assigned": F.when(premium_part, PREMIUM).otherwise(DELUXE),
-        "got_room_upgrade": F.when(upgraded, 1).otherwise(0),
-        "meal_plan": _pick(MEAL_TEXTS, h % 4),
-        "nights_booked": col("nights"),
-        "stayed_room_nights": stayed,
-        "avg_price_per_room": amount("rate_c"),
-        "competitor_avg_rate": amount("rival_c"),
-        "rate_premium_pct": F.round(premium, 2),
-        "payment_mode": F.when(col("pays_direct") | (h % 100 >= 62), "Pay at Hotel").otherwise("Prepaid"),
-        "ota_commission_pct": commission10.cast("double") / 10,
-        "total_lodging_amount": amount("lodging_c"),
-        "total_lodging_taxes": amount("tax_c"),
-        "total_amount": amount("total_c"),
-        "net_revenue": amount("net_c"),
-        "paid_at_hotel_amount": F.when(col("pays_direct"), amount("total_c")).otherwise(zero),
-        "paid_to_ota_amount": F.when(col("pays_direct"), zero).otherwise(amount("total_c")),
-        "is_cancelled": col("cancelled"),
-        "cancel_days_before_arrival": F.when(cancelled, days_before).otherwise(-1),
-    }
-    return {name: expr for name, expr in exprs.items() if name in needed}
