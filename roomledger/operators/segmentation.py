@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.clustering import BisectingKMeans, KMeans, KMeansModel
 from pyspark.ml.feature import PCA
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,6 +79,12 @@ def project(vectors: DataFrame, keep: Sequence[str]) -> tuple[DataFrame, list[fl
 
 
 def divisive(vectors: DataFrame, k: int = SEGMENTS, seed: int = SEED) -> DataFrame:
-    """Hierarchical grouping from the top, cut at k groups."""
-    model = BisectingKMeans(k=k, seed=seed, predictionCol="hc_cluster").fit(vectors)
-    return model.transform(vectors)
+    """Hierarchical grouping from the top, cut at k groups.
+
+    The fit splits a centre by noise in proportion to its norm, which is zero for
+    z-scores, so the points are first moved away from the origin; distances stay.
+    """
+    away = array_to_vector(F.transform(vector_to_array("features"), lambda x: x + 1.0))
+    moved = vectors.withColumn("_moved", away)
+    model = BisectingKMeans(k=k, seed=seed, featuresCol="_moved", predictionCol="hc_cluster").fit(moved)
+    return model.transform(moved).drop("_moved")
