@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from roomledger.session import checkpoint_dir
 
 CHUNK, POS = "__chunk", "__pos"
+MAX_STRATA = 1000
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
@@ -171,14 +172,21 @@ def lowest_by_hash(
 
     The rows themselves are not shuffled: counts per hash prefix locate the
     prefix that holds the cut, only that sliver (about n / 65536 rows) is ranked,
-    and the resulting threshold, one row per stratum, is broadcast.
+    and the resulting threshold, one row per stratum, is broadcast after a check
+    that there are at most ``MAX_STRATA`` of them.
     """
     keys = list(strata)
     hashed = df.withColumn("_h", F.md5(key))
-    cuts = _hash_cuts(hashed, share, keys)
+    found = _hash_cuts(hashed, share, keys)
+    rows = found.limit(MAX_STRATA + 1).collect()
+    if len(rows) > MAX_STRATA:
+        raise ValueError(f"more than {MAX_STRATA} strata in {keys}")
+    cuts = df.sparkSession.createDataFrame(rows, found.schema)
     same = [hashed[k].eqNullSafe(cuts[f"_k_{k}"]) for k in keys]
-    joined = hashed.join(F.broadcast(cuts), same, "left") if keys else hashed.join(F.broadcast(cuts))
-    return joined.select(*df.columns, (F.col("_h") <= F.col("_cut")).cast("int").alias(name))
+    joined = hashed.join(F.broadcast(cuts), same or F.lit(True), "left")
+    # A stratum too small to give a row has no threshold.
+    inside = F.coalesce(F.col("_h") <= F.col("_cut"), F.lit(False))
+    return joined.select(*df.columns, inside.cast("int").alias(name))
 
 
 def _hash_cuts(hashed: DataFrame, share: float, keys: list[str]) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from roomledger.operators import policy, stats
-from roomledger.plans.registry import LEAD_CASE, cents, half_even, money, plan
+from roomledger.operators import bookings as b
+from roomledger.operators import guests, policy, stats
+from roomledger.plans.bundle import side_by_side
+from roomledger.plans.registry import LEAD_CASE, cents, half_even, mean_int, money, plan
 from roomledger.sources.testdata import load_bookings as load
 
 _DEPOSIT_COLUMNS = ("booking_source", "lead_time_days", "is_cancelled", "avg_price_per_room", "nights_booked")
@@ -118,3 +120,24 @@ def win_idxmax(spark, path):
 )
 def pol_overbooking_season(spark, path):
     return policy.overbooking_by_season(load(spark, path, "check_in_date", "is_cancelled"))
+
+
+_HONOURED_CENTS = f"SUM(CASE WHEN is_cancelled = 0 THEN {cents('total_amount')} END)"
+
+
+@plan(
+    "join_kpi_assemble",
+    _overbook_sql("")
+    + f""", gv AS (SELECT primary_guest_name, SUM({cents('total_amount')}) AS t FROM bookings GROUP BY 1),
+ gr AS (SELECT t, ROW_NUMBER() OVER (ORDER BY t DESC, primary_guest_name) AS rn, COUNT(*) OVER () AS n FROM gv),
+ k1 AS (SELECT COUNT(*) AS bookings, {mean_int('is_cancelled', 3, True)} AS cancellation_rate, CAST({_HONOURED_CENTS} // 100 AS BIGINT) AS total_revenue,
+   CAST({_HONOURED_CENTS} // (100 * SUM(1 - is_cancelled)) AS BIGINT) AS avg_booking_value FROM bookings),
+ k2 AS (SELECT {half_even('SUM(CASE WHEN rn <= FLOOR(n * 0.18::DOUBLE) THEN t ELSE 0 END)', 'SUM(t)', 4)} AS top18_revenue_share FROM gr),
+ k3 AS (SELECT overbook_by AS optimal_overbook FROM ob ORDER BY CASE WHEN walkout_prob <= 0.02 THEN 0 ELSE 1 END,
+   CASE WHEN walkout_prob <= 0.02 THEN expected_net_rev ELSE 0 END DESC, overbook_by LIMIT 1)
+ SELECT * FROM k1, k2, k3""",
+)
+def join_kpi_assemble(spark, path):
+    rows = load(spark, path, "primary_guest_name", "total_amount", "avg_price_per_room", "is_cancelled")
+    share = guests.top_shares(rows).select(F.col("top_18pct_revenue_share").alias("top18_revenue_share"))
+    return side_by_side([b.kpis(rows), share, policy.best_level(policy.overbooking(rows)).select("optimal_overbook")])
