@@ -22,13 +22,15 @@ MAX_STRATA = 1000
 _LOCAL_BITS = 33  # monotonically_increasing_id keeps the row number in the low 33 bits
 
 
-def range_chunks(df: DataFrame, order_by: Sequence[Column], chunks: int | None = None) -> DataFrame:
-    """Sort globally; add the range number and the row number inside the range."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    n = chunks or int(spark.conf.get("spark.sql.shuffle.partitions"))
+def range_chunks(df: DataFrame, order_by: Sequence[Column]) -> DataFrame:
+    """Sort globally; add the range number and the row number inside the range.
+
+    There are at most ``spark.sql.shuffle.partitions`` ranges; adaptive execution
+    merges neighbouring ones that are small, which keeps their order.
+    """
+    checkpoint_dir(df.sparkSession)
     numbered = (
-        df.repartitionByRange(n, *order_by)
+        df.repartitionByRange(*order_by)
         .sortWithinPartitions(*order_by)
         .withColumn("_id", F.monotonically_increasing_id())
     )

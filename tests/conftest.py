@@ -24,6 +24,8 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
+            # Keep several ranges on tiny inputs, so that offsets and carries are used.
+            "spark.sql.adaptive.coalescePartitions.enabled": "false",
             # Tiny inputs: compiling code per query would take longer than running it.
             "spark.sql.codegen.wholeStage": "false",
         },
