@@ -184,7 +184,8 @@ def classifier_benchmark(
         parts.append(scored.select(F.lit(name).alias("model"), "label", "score", "prediction"))
         if model is not None:
             fitted[name] = model
-    return classifier_metrics(reduce(DataFrame.unionByName, parts)), fitted
+    # Scores are read several times for the metrics; four narrow columns are stored.
+    return classifier_metrics(training_rows(reduce(DataFrame.unionByName, parts))), fitted
 
 
 def regressor_benchmark(
@@ -194,7 +195,7 @@ def regressor_benchmark(
     for name in names or regressors(split):
         scored, fitted[name] = score_regressor(split, name, rounds)
         parts.append(scored.select(F.lit(name).alias("model"), "label", "prediction"))
-    return regressor_metrics(reduce(DataFrame.unionByName, parts)), fitted
+    return regressor_metrics(training_rows(reduce(DataFrame.unionByName, parts))), fitted
 
 
 def importances(spark: SparkSession, model: Model, names: Sequence[str], top: int = 10) -> DataFrame:
