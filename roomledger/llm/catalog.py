@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomledger.llm import supervision
+from roomledger.llm import mixing, supervision, urls
+from roomledger.session import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,6 +17,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    checkpoint_dir(spark)
+    # Three narrow columns: sizes are counted once, and the texts are read once.
+    rows = mixing.keyed(docs, "doc_id", "source", mixing.word_count("text")).drop("text", "source").checkpoint()
+    return mixing.taken(rows, mixing.cuts(rows)).select(
+        "doc_id", F.col("__size").alias("size"), "source_size", "target", "taken"
+    )
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return supervision.judge(docs, keep=["doc_id"]).select(
@@ -32,6 +48,8 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_mix": op1_mix,
+    "op2_urls": op2_urls,
     "op4_quality": op4_quality,
 }
 
