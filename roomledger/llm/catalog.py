@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomledger.llm import mixing, supervision, urls
+from roomledger.llm import bagminhash, mixing, supervision, urls
 from roomledger.session import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,10 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(pages).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op3_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.label(_table(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return supervision.judge(docs, keep=["doc_id"]).select(
@@ -50,6 +54,7 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_mix": op1_mix,
     "op2_urls": op2_urls,
+    "op3_bagminhash": op3_bagminhash,
     "op4_quality": op4_quality,
 }
 
