@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomledger.llm import bagminhash, mixing, supervision, urls
+from roomledger.llm import bagminhash, decontaminate, mixing, separators, simple8b, supervision, urls
 from roomledger.session import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,11 +51,26 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simple8b.digest(_table(spark, sf_dir, "documents"))
+
+
+def op8_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return separators.count_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix": op1_mix,
     "op2_urls": op2_urls,
     "op3_bagminhash": op3_bagminhash,
     "op4_quality": op4_quality,
+    "op5_simple8b": op5_simple8b,
+    "op8_separators": op8_separators,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 SQL: dict[str, str] = {}
