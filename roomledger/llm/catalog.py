@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomledger.llm import bagminhash, decontaminate, mixing, separators, simple8b, supervision, urls
+from roomledger.llm import bagminhash, decontaminate, fixity, mixing, secrets, separators, simple8b, supervision, urls
 from roomledger.session import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,10 +55,26 @@ def op5_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The archive of all pages against a replica in which every 97th page has lost a byte to bit rot."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    file = F.floor(F.col("page_id") / fixity.PAGES_PER_FILE)
+    rotten = F.concat(F.lit("?"), F.expr("substring(html, 2)"))
+    replica = pages.withColumn("html", F.when(F.pmod("page_id", F.lit(97)) == 13, rotten).otherwise(F.col("html")))
+    ours, theirs = (fixity.leaves(x, file, "page_id", fixity.warc_record()) for x in (pages, replica))
+    return fixity.report(ours, theirs).select(
+        F.col("key").alias("page_id"), "file", "start", "end", F.col("hash").alias("sha256"), "status"
+    )
+
+
 def op8_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return separators.count_tokens(_table(spark, sf_dir, "documents"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(_table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -69,11 +85,37 @@ QUERIES: dict[str, Query] = {
     "op3_bagminhash": op3_bagminhash,
     "op4_quality": op4_quality,
     "op5_simple8b": op5_simple8b,
+    "op7_fixity": op7_fixity,
     "op8_separators": op8_separators,
     "op9_decontaminate": op9_decontaminate,
+    "op10_secrets": op10_secrets,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op7_fixity": r"""
+        WITH raw AS (
+            SELECT page_id, CAST(floor(page_id / 1000) AS BIGINT) AS file,
+                   'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+                   || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
+                   || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10)
+                   || 'Content-Type: text/html' || chr(13) || chr(10)
+                   || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+                   || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record,
+                   html
+            FROM pages
+        ), hashed AS (
+            SELECT page_id, file, strlen(record) AS size, sha256(record) AS sha256,
+                   coalesce(page_id % 97 = 13 AND html <> '' AND substring(html, 1, 1) <> '?', false) AS rotten
+            FROM raw
+        ), placed AS (
+            SELECT *, CAST(sum(size) OVER (PARTITION BY file ORDER BY page_id NULLS FIRST, sha256
+                           ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
+            FROM hashed
+        )
+        SELECT page_id, file, upto - size AS start, upto AS "end", sha256,
+               CASE WHEN rotten THEN 'corrupt' ELSE 'ok' END AS status
+        FROM placed""",
+}
 
 
 def queries() -> dict[str, Query]:

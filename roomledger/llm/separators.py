@@ -33,7 +33,7 @@ from roomledger.llm import words as w
 from roomledger.session import checkpoint_dir, scratch_path
 
 BLOCK = 1 << 16
-END_ID = 2
+END_ID = 49_407  # the end-of-text id of the default tokenizer; no plain text encodes to it
 
 
 def write_flat(
