@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomledger.llm import bagminhash, decontaminate, fixity, mixing, secrets, separators, simple8b, supervision, urls
+from roomledger.llm import attention, bagminhash, decontaminate, fixity, mixing, secrets, separators, simple8b, supervision, urls
 from roomledger.session import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,10 @@ def op5_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention.score(_table(spark, sf_dir, "documents"))
+
+
 def op7_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The archive of all pages against a replica in which every 97th page has lost a byte to bit rot."""
     pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
@@ -85,6 +89,7 @@ QUERIES: dict[str, Query] = {
     "op3_bagminhash": op3_bagminhash,
     "op4_quality": op4_quality,
     "op5_simple8b": op5_simple8b,
+    "op6_attention": op6_attention,
     "op7_fixity": op7_fixity,
     "op8_separators": op8_separators,
     "op9_decontaminate": op9_decontaminate,
