@@ -167,7 +167,8 @@ def rules() -> dict[str, Column]:
         "same_lines": _votes(bad=_share("n_dup_lines", "n_lines") >= 0.30),
         "capitals": _votes(bad=capitals >= 0.50),
         "marks": _votes(bad=marks >= 0.20),
-        "variety": _votes(bad=_share("n_distinct", "n_words") < 0.15),
+        # Distinct words grow about with the square root of the length.
+        "variety": _votes(bad=F.col("n_distinct") / F.sqrt(F.greatest("n_words", F.lit(1))) < 2),
         "letters": _votes(bad=_share("n_letters", "word_chars") < 0.50),
         "prose": _votes(good=(capitals < 0.15) & (symbols < 0.02) & (marks < 0.05)),
         "word_length": _votes(bad=(length < 2) | (length > 20), good=(length >= 3) & (length <= 10)),
