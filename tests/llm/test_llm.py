@@ -30,7 +30,7 @@ from roomledger.llm import (
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, node string, __key int"
 RNG = np.random.default_rng(3)
-VOCAB = [f"w{i}" for i in range(400)]
+VOCAB = [a + b + c for a in ("ba", "den", "ko", "lir", "mu", "na", "rel", "su") for b in ("ta", "vi", "gon", "pe", "lo", "zi", "far") for c in ("m", "nes", "t", "da", "rik", "ul", "o")]
 SECRET = "aB3xY9kLm2Qp7Rt5Zw8c"
 
 
