@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WHOLE = "decimal(20,0)"
+WIDE = "decimal(28,0)"
 
 
 def cents(amount: str | Column) -> Column:
@@ -32,6 +33,18 @@ def ratio(num: Column, den: Column, scale: int, *, half_even: bool = False) -> C
     return rounded.cast("double")
 
 
+def product(left: Column, right: Column) -> Column:
+    """Product of two integer sums, which may pass 2 ** 63."""
+    return (left.cast(WIDE) * right.cast("decimal(19,0)")).cast(WIDE)
+
+
+def wide_ratio(num: Column, den: Column, scale: int, *, half_even: bool = False) -> Column:
+    """``ratio`` for terms made by ``product``."""
+    exact = F.try_divide(num.cast(WIDE), den.cast(WIDE))
+    rounded = F.bround(exact, scale) if half_even else F.round(exact, scale)
+    return rounded.cast("double")
+
+
 def mean_money(amount: str | Column, scale: int = 2, *, half_even: bool = False) -> Column:
     value = cents(amount)
     return ratio(F.sum(value), F.count(value) * 100, scale, half_even=half_even)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roomledger.functions import dates, labels
-from roomledger.functions.exact import cents, mean_int, mean_money, money, plain_mean, ratio, sum_money
+from roomledger.functions.exact import cents, mean_int, mean_money, money, plain_mean, product, ratio, sum_money, wide_ratio
 
 ROOMS = 14  # Fixed value: rooms in the inventory.
 
@@ -19,7 +19,7 @@ def honoured(df: DataFrame) -> DataFrame:
 
 def _share(part: Column, scale: int = 1, half_even: bool = False) -> Column:
     """Percentage of a column's total; only for already aggregated, small results."""
-    return ratio(part * 100, F.sum(part).over(Window.partitionBy()), scale, half_even=half_even)
+    return wide_ratio(product(part, F.lit(100)), F.sum(part).over(Window.partitionBy()), scale, half_even=half_even)
 
 
 # --- cancellations -----------------------------------------------------------
@@ -290,7 +290,7 @@ def daily_revpar(df: DataFrame, rooms: int = ROOMS) -> DataFrame:
         "rooms_sold",
         ratio(F.col("_rate"), per_day, 2).alias("avg_daily_rate"),
         ratio(F.col("rooms_sold"), F.lit(rooms), 4).alias("occupancy_rate"),
-        ratio(F.col("_rate") * F.col("rooms_sold"), per_day * rooms, 2).alias("revpar"),
+        wide_ratio(product(F.col("_rate"), F.col("rooms_sold")), product(per_day, F.lit(rooms)), 2).alias("revpar"),
     ).orderBy("date")
 
 
@@ -303,7 +303,7 @@ def monthly_revpar(df: DataFrame, rooms: int = ROOMS) -> DataFrame:
         "rooms_sold",
         "total_capacity",
         ratio(F.col("rooms_sold"), F.col("total_capacity"), 4).alias("occupancy_rate"),
-        ratio(F.col("_rate") * F.col("rooms_sold"), per_room * F.col("total_capacity"), 2).alias("revpar"),
+        wide_ratio(product(F.col("_rate"), F.col("rooms_sold")), product(per_room, F.col("total_capacity")), 2).alias("revpar"),
     ).orderBy("month")
 
 
@@ -319,7 +319,7 @@ def monthly_revpar_clipped(df: DataFrame, rooms: int = ROOMS) -> DataFrame:
         dates.days_in_month("month").alias("days_in_month"),
         F.col("total_capacity").alias("capacity"),
         ratio(sold, F.col("total_capacity"), 4, half_even=True).alias("occupancy"),
-        ratio(F.col("_rate") * sold, per_room * F.col("total_capacity"), 2, half_even=True).alias("revpar"),
+        wide_ratio(product(F.col("_rate"), sold), product(per_room, F.col("total_capacity")), 2, half_even=True).alias("revpar"),
     ).orderBy("month")
 
 

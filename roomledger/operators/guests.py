@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from roomledger.functions import dates, labels
-from roomledger.functions.exact import cents, mean_int, mean_money, money, plain_mean, ratio, sum_money
+from roomledger.functions.exact import cents, mean_int, mean_money, money, plain_mean, product, ratio, sum_money, wide_ratio
 from roomledger.operators import ordered
 
 GUEST = "primary_guest_name"
@@ -193,8 +193,8 @@ def tier_profile(rfm: DataFrame) -> DataFrame:
             "avg_recency",
             "avg_frequency",
             "avg_cancel",
-            ratio(F.col("n_guests") * 100, F.sum("n_guests").over(whole), 1, half_even=True).alias("pct_guests"),
-            ratio(F.col("_rev") * 100, F.sum("_rev").over(whole), 1, half_even=True).alias("pct_revenue"),
+            wide_ratio(product(F.col("n_guests"), F.lit(100)), F.sum("n_guests").over(whole), 1, half_even=True).alias("pct_guests"),
+            wide_ratio(product(F.col("_rev"), F.lit(100)), F.sum("_rev").over(whole), 1, half_even=True).alias("pct_revenue"),
         )
         .withColumn("recommended_action", labels.lookup(F.col("tier"), labels.ACTION_OF_TIER))
         .orderBy(F.desc("avg_revenue"))

@@ -217,3 +217,11 @@ def test_csv_union_fills_missing_columns(spark, tmp_path):
 def test_header_spelling(spark):
     df = spark.createDataFrame([(1, 2)], "`Booking.Source` int, `Room.No.` int")
     assert readers.snake_case(df).columns == ["booking_source", "room_no"]
+
+
+def test_ratios_of_large_sums(spark):
+    from roomledger.functions.exact import product, wide_ratio
+
+    row = spark.sql("SELECT 1000000000000000L AS c, 1000000000L AS n")
+    share = wide_ratio(product(F.col("c"), F.col("n")), product(F.col("c"), F.col("n") * 3), 4)
+    assert row.select(share.alias("x")).first()[0] == 0.3333
