@@ -225,3 +225,18 @@ def test_ratios_of_large_sums(spark):
     row = spark.sql("SELECT 1000000000000000L AS c, 1000000000L AS n")
     share = wide_ratio(product(F.col("c"), F.col("n")), product(F.col("c"), F.col("n") * 3), 4)
     assert row.select(share.alias("x")).first()[0] == 0.3333
+
+
+def test_overbooking_beyond_twenty_rooms(spark):
+    from math import comb
+
+    from roomledger.operators import policy
+
+    rows = [(1 if i < 5 else 0, 100.0, "2024-04-01") for i in range(100)]
+    df = spark.createDataFrame(rows, "is_cancelled int, avg_price_per_room double, check_in_date string").withColumn(
+        "check_in_date", F.to_date("check_in_date")
+    )
+    want = round(sum(comb(32, k) * 0.95**k * 0.05 ** (32 - k) for k in (31, 32)), 4)
+    level = policy.overbooking(df, rooms=30, levels=3).filter("overbook_by = 2").first()
+    assert level["walkout_prob"] == want
+    assert policy.overbooking_by_season(df, level=2, rooms=30).first()["walkout_prob_at_2"] == want
