@@ -6,8 +6,10 @@ from collections.abc import Sequence
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, GeneralizedLinearRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomledger.functions import labels
@@ -108,18 +110,24 @@ def predict(model: GeneralizedLinearRegressionModel, df: DataFrame, names: Seque
 # --- cross products ----------------------------------------------------------
 
 
+def gram(column: str) -> Column:
+    """Aggregate: X'X of an array column, flat, row by row; a null product counts as 0.
+
+    One vector is summed whatever the number of columns. There must be a row.
+    """
+    x = F.col(column)
+    products = F.transform(x, lambda a: F.transform(x, lambda b: F.coalesce(a * b, F.lit(0.0))))
+    return vector_to_array(Summarizer.sum(array_to_vector(F.flatten(products))))
+
+
 def cross_products(df: DataFrame, names: Sequence[str]) -> np.ndarray:
     """X'X of the columns with a leading constant, in one distributed aggregate.
 
     The result is a (p+1) x (p+1) matrix, whatever the number of rows.
     """
     cols = [F.lit(1.0), *[F.col(f"`{n}`").cast("double") for n in names]]
-    pairs = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
-    row = df.agg(*[F.sum(cols[i] * cols[j]).alias(f"s{k}") for k, (i, j) in enumerate(pairs)]).first()
-    out = np.zeros((len(cols), len(cols)))
-    for k, (i, j) in enumerate(pairs):
-        out[i, j] = out[j, i] = row[k]
-    return out
+    row = df.select(F.array(*cols).alias("_x")).agg(gram("_x").alias("g")).first()
+    return np.asarray(row["g"]).reshape(len(cols), len(cols))
 
 
 def vif(spark: SparkSession, df: DataFrame, names: Sequence[str], centred: bool = False) -> DataFrame:

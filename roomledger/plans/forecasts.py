@@ -75,7 +75,7 @@ def fc_cv_summary(spark, path):
 
 @plan("fc_decomposable")
 def fc_decomposable(spark, path):
-    return fc.forecast(series(spark, path))
+    return fc.forecast(series(spark, path), history=True)
 
 
 @plan("fc_model_comparison")

@@ -65,9 +65,9 @@ def agg_guest_features(spark, path):
     return guests.guest_value_features(load(spark, path, *cols))
 
 
-@plan("smp_without_repl", f", f AS ({_FEATURES}) SELECT * FROM f ORDER BY MD5(primary_guest_name), primary_guest_name LIMIT 1000")
+@plan("smp_without_repl", f", f AS ({_FEATURES}) SELECT * FROM f ORDER BY MD5(primary_guest_name), primary_guest_name LIMIT 4000")
 def smp_without_repl(spark, path):
-    return guests.sample_guests(agg_guest_features(spark, path), 1000)
+    return guests.sample_guests(agg_guest_features(spark, path))
 
 
 _BASE = f"""SELECT primary_guest_name, MAX(check_in_date) AS last_stay, COUNT(*) AS frequency, {sum_money('total_amount')} AS monetary,

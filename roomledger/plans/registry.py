@@ -90,7 +90,7 @@ base AS (
     CASE o.o_orderpriority WHEN '1-URGENT' THEN 'Corporate' WHEN '2-HIGH' THEN 'Direct / Front Desk'
       WHEN '3-MEDIUM' THEN 'OTA' WHEN '4-NOT SPECIFIED' THEN 'Travel Agent' ELSE 'Web' END AS src,
     c.c_mktsegment AS acct, CAST((o.o_orderkey * 7919) % 91 AS INT) AS lead,
-    CAST(LEAST(COALESCE(li.n_lines, 1), 7) AS INT) AS nights,
+    CAST(COALESCE(li.n_lines, 1) AS INT) AS nights,
     COALESCE(p.p_type, 'STANDARD') AS ptype,
     CAST(ROUND(COALESCE(p.p_retailprice, 1000.0) * 100) AS BIGINT) AS pc,
     (o.o_orderkey * 104729) % 1000 AS u, (o.o_orderkey * 1299709) % 997 AS h

@@ -212,3 +212,26 @@ def test_forecast_per_series(spark):
     series = spark.createDataFrame(rows, "source string, ds date, y double")
     got = forecasting.forecast(series, 7, by=("source",)).toPandas()
     assert got.groupby("source").size().to_dict() == {"x": 7, "y": 7}
+
+
+def test_forecast_fit_is_the_ridge_over_days(spark):
+    rng = np.random.default_rng(3)
+    t = np.arange(500)
+    y = 50 + 0.1 * t + 5 * np.sin(2 * np.pi * t / 7) + rng.normal(0, 1, len(t))
+    first = dt.date(2022, 1, 1)
+    rows = [(first + dt.timedelta(days=int(i)), float(v)) for i, v in zip(t, y)]
+    series = spark.createDataFrame(rows, "ds date, y double")
+    got = forecasting.forecast(series, 5, history=True).toPandas().sort_values("ds")
+    day = t + float((first - dt.date(1970, 1, 1)).days)
+    s = t / t.max()
+    waves = [f(2 * np.pi * k * day / p) for p, n in ((365.25, 10), (7.0, 3)) for k in range(1, n + 1) for f in (np.sin, np.cos)]
+    x = np.column_stack([np.ones_like(s), s, *[np.maximum(s - a, 0) for a in np.linspace(0, 0.8, 26)[1:]], *waves])
+    target = y / np.abs(y).max()
+    noise = target.var()
+    for _ in range(3):
+        penalty = np.diag(np.sqrt(noise * forecasting.PRECISION))
+        beta = np.linalg.lstsq(np.vstack([x, penalty]), np.append(target, np.zeros(len(penalty))), rcond=None)[0]
+        noise = (target - x @ beta).var()
+    assert len(got) == 505
+    assert np.allclose(got["yhat"].to_numpy()[:500], x @ beta * np.abs(y).max(), atol=1e-6)
+    assert np.allclose(got["yhat"], got["trend"] + got["yearly"] + got["weekly"])
