@@ -52,6 +52,7 @@ BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
 SMALL_BUCKET = 32
 BROADCAST_NODES = 500_000  # 16-byte digests
+BROADCAST_BYTES = 16 << 20
 MAX_ROUNDS = 12
 
 _U = np.uint64
@@ -187,6 +188,15 @@ def _sized(table: DataFrame, most: int = BROADCAST_NODES) -> DataFrame:
     return F.broadcast(table) if table.count() <= most else table
 
 
+def _light(table: DataFrame, column: str, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Marked for broadcast if its values of ``column`` take few bytes; else the optimizer chooses.
+
+    Then the side that it is joined to, one row per pair, is not shuffled with the values.
+    """
+    size = table.agg(F.sum(F.octet_length(column) + F.lit(64))).first()[0] or 0
+    return F.broadcast(table) if size <= most else table
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, label``: the smallest node that a chain of links reaches."""
     both = links.select("a", "b").union(links.select("b", "a")).distinct().checkpoint()
@@ -214,13 +224,16 @@ def _nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def _candidates(live: DataFrame, labels: DataFrame | None, round_no: int) -> DataFrame:
-    """Pairs ``a < b`` of nodes that share a bucket, have similar sizes and different classes."""
+def _candidates(live: DataFrame, labels: DataFrame | None, round_no: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs ``a < b`` of nodes that share a bucket, have similar sizes and different classes.
+
+    The second result is ``live`` without the buckets that hold one class only; as classes
+    are only ever joined, no later round needs those.
+    """
     if labels is None:
         known = live.withColumn("label", F.col("node"))
     else:
-        known = live.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    known = known.checkpoint()
+        known = live.join(_sized(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     order = F.col("node") if not round_no else F.xxhash64(F.lit(round_no), "node")
     hubs = (
         known.groupBy("key")
@@ -234,6 +247,9 @@ def _candidates(live: DataFrame, labels: DataFrame | None, round_no: int) -> Dat
         .toDF("key", "h_node", "h_size", "h_label", "n")
         .checkpoint()
     )
+    if labels is not None:
+        known = known.join(_sized(hubs.select("key")), "key", "left_semi").checkpoint()
+        live = known.drop("label")
     alike = lambda x, y: F.least(x, y) >= SIMILARITY * F.greatest(x, y)
     starred = (
         known.join(hubs if round_no != 1 else hubs.filter(F.col("n") > SMALL_BUCKET), "key")
@@ -242,9 +258,9 @@ def _candidates(live: DataFrame, labels: DataFrame | None, round_no: int) -> Dat
     )
     if not round_no:
         # One hub per node first: most texts then have their class already.
-        return starred.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+        return starred.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), live
     if round_no == 1:
-        few = known.join(hubs.filter(F.col("n") <= SMALL_BUCKET).select("key"), "key").checkpoint()
+        few = known.join(hubs.filter(F.col("n") <= SMALL_BUCKET).select("key"), "key")
         other = few.toDF(*[f"o_{c}" for c in few.columns])
         pairs = few.join(
             other,
@@ -254,13 +270,14 @@ def _candidates(live: DataFrame, labels: DataFrame | None, round_no: int) -> Dat
             & alike(few["size"], other["o_size"]),
         )
         starred = starred.union(pairs.select(F.col("node").alias("a"), F.col("o_node").alias("b")))
-    return starred.distinct()
+    return starred.distinct(), live
 
 
 def _alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     """The pairs whose sketches agree in enough slots."""
     ends = pairs.select("a").union(pairs.select("b")).distinct()
     found = signed.select("node", "sketch").join(_sized(ends), signed["node"] == F.col("a"), "left_semi").checkpoint()
+    found = _light(found, "sketch")
     left, right = found.toDF("a", "sa"), found.toDF("b", "sb")
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,6 +310,7 @@ def links_of(pairs: DataFrame, texts: DataFrame, signed: DataFrame) -> DataFrame
         .dropDuplicates(["node"])
         .checkpoint()
     )
+    wanted = _light(wanted, "text")
     both = pairs.join(wanted.toDF("a", "left"), "a").join(wanted.toDF("b", "right"), "b")
     return both.select("a", "b", "left", "right").mapInArrow(_verify, "a binary, b binary")
 
@@ -318,7 +336,8 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     live = entries.join(shared, "key", "left_semi").checkpoint()
     found, labels = None, None
     for round_no in range(MAX_ROUNDS):
-        fresh = links_of(_alike(_candidates(live, labels, round_no).checkpoint(), signed), texts, signed).checkpoint()
+        pairs, live = _candidates(live, labels, round_no)
+        fresh = links_of(_alike(pairs.checkpoint(), signed), texts, signed).checkpoint()
         some = fresh.limit(1).count()
         if some:
             found = fresh if found is None else found.union(fresh).checkpoint()
