@@ -15,13 +15,16 @@ minimum, so a text of n shingles costs about n + slots * log(slots) points, howe
 large the counts are.
 
 Banding. ``BANDS`` bands of ``ROWS`` slots; two texts of similarity 0.8 miss all bands
-with probability 3e-6. A band's bucket is never expanded into all pairs if it is large:
-every member is paired with the bucket's hub, links are verified on the exact multisets,
-and classes are joined; then buckets that still hold several classes are gone through
-again, small ones with all pairs of different classes, large ones with a new random hub
-per round until a round finds no link. Rounds are therefore linear in the number of
-entries. In a large bucket a link can only be missed if its two texts meet no common
-hub in any of the (about ten) bands they share and no third text joins them.
+with probability 3e-6. Every two texts of different classes that share a bucket are
+compared; three rounds, each with links verified on the exact multisets and classes
+joined, keep the work small. First every text meets one hub. Then small buckets give all
+pairs of different classes, and the members of large ones are dealt to blocks: each two
+blocks meet in one task, which compares their sketches and gives the best few partners
+of each text and all partners of the text that has most of them, so that a text with
+many copies joins them at once. Last, the large buckets that still hold several classes
+give every pair of different classes whose sketches agree. A bucket's largest class is
+met by the others only, so a large class with a few strangers costs no square. A large
+group without links, but with estimates over ``ESTIMATE``, does cost one.
 
 Exact copies are one node (128-bit digest of the text), whatever their number. Candidate
 pairs first compare 8 bits of each slot; pairs estimated below ``ESTIMATE`` (almost five
@@ -39,7 +42,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomledger.llm import words as w
@@ -53,7 +56,8 @@ SLOTS = BANDS * ROWS
 SMALL_BUCKET = 32
 BROADCAST_NODES = 500_000  # 16-byte digests
 BROADCAST_BYTES = 16 << 20
-MAX_ROUNDS = 12
+BLOCK = 512  # members of a large bucket that one side of a task holds
+BEST = 2
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -224,53 +228,110 @@ def _nodes(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
 
 
-def _candidates(live: DataFrame, labels: DataFrame | None, round_no: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs ``a < b`` of nodes that share a bucket, have similar sizes and different classes.
+def _hub_pairs(live: DataFrame) -> DataFrame:
+    """One pair ``a < b`` per node, with a hub of its buckets; most texts then have their class already."""
+    hubs = live.groupBy("key").agg(F.min_by(F.struct("node", "size"), "node").alias("hub")).select(
+        "key", F.col("hub.node").alias("h_node"), F.col("hub.size").alias("h_size")
+    )
+    met = live.join(hubs, "key").filter((F.col("node") != F.col("h_node")) & _similar_sizes("size", "h_size"))
+    return met.groupBy(F.col("node").alias("b")).agg(F.min("h_node").alias("a")).select("a", "b")
+
+
+def _similar_sizes(x: str, y: str) -> Column:
+    return F.least(x, y) >= SIMILARITY * F.greatest(x, y)
+
 
-    The second result is ``live`` without the buckets that hold one class only; as classes
-    are only ever joined, no later round needs those.
+def _mixed(live: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``live`` with each node's class as ``label``, without the buckets that hold one class only.
+
+    As classes are only ever joined, no later round needs those.
     """
     if labels is None:
-        known = live.withColumn("label", F.col("node"))
-    else:
-        known = live.join(_sized(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    order = F.col("node") if not round_no else F.xxhash64(F.lit(round_no), "node")
-    hubs = (
-        known.groupBy("key")
-        .agg(
-            F.min_by(F.struct("node", "size", "label"), order).alias("hub"),
-            F.count(F.lit(1)).alias("n"),
-            (F.min("label") != F.max("label")).alias("mixed"),
+        return live.withColumn("label", F.col("node"))
+    known = live.join(_sized(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = known.groupBy("key").agg((F.min("label") != F.max("label")).alias("mixed")).filter("mixed").select("key")
+    return known.join(_sized(several.checkpoint()), "key", "left_semi").checkpoint()
+
+
+def _small_pairs(known: DataFrame) -> DataFrame:
+    """All pairs ``a < b`` of different classes in small buckets."""
+    few = known.filter(F.col("n") <= SMALL_BUCKET).select("key", "node", "size", "label")
+    other = few.toDF(*[f"o_{c}" for c in few.columns])
+    met = (few["key"] == other["o_key"]) & (few["node"] < other["o_node"]) & (few["label"] != other["o_label"])
+    pairs = few.join(other, met & _similar_sizes("size", "o_size"))
+    return pairs.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
+
+
+def _large_pairs(known: DataFrame, signed: DataFrame, best: int | None) -> DataFrame:
+    """Pairs ``a < b`` of different classes in large buckets whose sketches agree in enough slots.
+
+    With ``best``, so many partners per node and two blocks at most, but all partners of
+    the node that has most; this is linear in the rows of the two blocks.
+    """
+    many = known.filter(F.col("n") > SMALL_BUCKET).select("key", "node", "size", "label")
+    kinds = many.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
+    buckets = (
+        kinds.groupBy("key")
+        .agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("n"))
+        .filter("top.k < n")
+        .select(
+            "key",
+            F.col("top.label").alias("main"),
+            F.ceil(F.col("top.k") / BLOCK).alias("main_blocks"),
+            F.ceil((F.col("n") - F.col("top.k")) / BLOCK).alias("blocks"),
         )
-        .filter("mixed")
-        .select("key", "hub.node", "hub.size", "hub.label", "n")
-        .toDF("key", "h_node", "h_size", "h_label", "n")
         .checkpoint()
     )
-    if labels is not None:
-        known = known.join(_sized(hubs.select("key")), "key", "left_semi").checkpoint()
-        live = known.drop("label")
-    alike = lambda x, y: F.least(x, y) >= SIMILARITY * F.greatest(x, y)
-    starred = (
-        known.join(hubs if round_no != 1 else hubs.filter(F.col("n") > SMALL_BUCKET), "key")
-        .filter((F.col("label") != F.col("h_label")) & alike(F.col("size"), F.col("h_size")))
-        .select(F.least("node", "h_node").alias("a"), F.greatest("node", "h_node").alias("b"))
-    )
-    if not round_no:
-        # One hub per node first: most texts then have their class already.
-        return starred.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), live
-    if round_no == 1:
-        few = known.join(hubs.filter(F.col("n") <= SMALL_BUCKET).select("key"), "key")
-        other = few.toDF(*[f"o_{c}" for c in few.columns])
-        pairs = few.join(
-            other,
-            (few["key"] == other["o_key"])
-            & (few["node"] < other["o_node"])
-            & (few["label"] != other["o_label"])
-            & alike(few["size"], other["o_size"]),
+    dealt = many.join(_sized(buckets), "key").withColumn("of_main", F.col("label") == F.col("main"))
+    salt = F.xxhash64("node", "key")
+    # Blocks of the largest class come after the others and do not meet each other.
+    at = F.when(F.col("of_main"), F.col("blocks") + F.pmod(salt, "main_blocks")).otherwise(F.pmod(salt, "blocks"))
+    last = F.col("blocks") - 1 + F.when(F.col("of_main"), 0).otherwise(F.col("main_blocks"))
+    dealt = dealt.select("key", "node", "size", "label", at.alias("block"), last.alias("last")).checkpoint()
+    found = signed.select("node", "sketch").join(_sized(dealt.select("node").distinct()), "node", "left_semi")
+    found = _light(found.checkpoint(), "sketch")
+    rows = (
+        dealt.join(found, "node")
+        .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+        .select(
+            "key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"),
+            "block", "node", "size", "label", "sketch",
         )
-        starred = starred.union(pairs.select(F.col("node").alias("a"), F.col("o_node").alias("b")))
-    return starred.distinct(), live
+    )
+
+    def meet(key: tuple, rows: pa.Table) -> pa.Table:
+        return _meet(key[1].as_py(), key[2].as_py(), rows, best)
+
+    return rows.groupBy("key", "lo", "hi").applyInArrow(meet, "a binary, b binary").distinct()
+
+
+def _meet(lo: int, hi: int, rows: pa.Table, best: int | None) -> pa.Table:
+    """The pairs between two blocks of a bucket, or within one."""
+    block, size = rows["block"].to_numpy(), rows["size"].to_numpy()
+    nodes = rows["node"].to_pylist()
+    label = np.unique(np.array(rows["label"].to_pylist(), dtype=object), return_inverse=True)[1]
+    sketch = _sketch(rows["sketch"])
+    left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    same = np.zeros((len(left), len(right)), dtype=np.uint8)
+    for i in range(0, len(left), 32):
+        some = left[i : i + 32]
+        agree = (sketch[some, None, :] == sketch[None, right, :]).view(np.uint64).sum(axis=2)
+        # Eight counters of a byte each, added up in the highest.
+        same[i : i + 32] = (agree * _U(0x0101010101010101)) >> _U(56)
+    x, y = size[left, None], size[None, right]
+    wanted = (label[left, None] != label[None, right]) & (np.minimum(x, y) >= SIMILARITY * np.maximum(x, y))
+    wanted &= same >= ESTIMATE * SLOTS
+    if best is not None and wanted.any():
+        same[~wanted] = 0
+        keep = np.zeros_like(wanted)
+        for flags, counts in ((keep, same), (keep.T, same.T)):
+            top = np.argsort(-counts.astype(np.int16), axis=1, kind="stable")[:, :best]
+            np.put_along_axis(flags, top, True, axis=1)
+            flags[np.argmax((counts >= SIMILARITY * SLOTS).sum(axis=1))] = True
+        wanted &= keep
+    ends = [(min(nodes[left[i]], nodes[right[j]]), max(nodes[left[i]], nodes[right[j]])) for i, j in np.argwhere(wanted)]
+    ends = sorted(set(ends))
+    return pa.table([pa.array([p[k] for p in ends], type=pa.binary()) for k in (0, 1)], names=["a", "b"])
 
 
 def _alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
@@ -332,18 +393,24 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         .checkpoint()
     )
     entries = signed.select("node", "size", F.explode("keys").alias("key"))
-    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key").checkpoint()
-    live = entries.join(shared, "key", "left_semi").checkpoint()
+    shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").checkpoint()
+    live = entries.join(_sized(shared), "key").checkpoint()
     found, labels = None, None
-    for round_no in range(MAX_ROUNDS):
-        pairs, live = _candidates(live, labels, round_no)
-        fresh = links_of(_alike(pairs.checkpoint(), signed), texts, signed).checkpoint()
-        some = fresh.limit(1).count()
-        if some:
+    for round_no in range(3):
+        if not round_no:
+            pairs = _alike(_hub_pairs(live).checkpoint(), signed)
+        else:
+            known = _mixed(live, labels)
+            live = known.drop("label")
+            if round_no == 1:
+                small = _alike(_small_pairs(known).checkpoint(), signed)
+                pairs = small.union(_large_pairs(known, signed, BEST)).distinct()
+            else:
+                pairs = _large_pairs(known, signed, None)
+        fresh = links_of(pairs, texts, signed).checkpoint()
+        if fresh.limit(1).count():
             found = fresh if found is None else found.union(fresh).checkpoint()
             labels = components(found)
-        elif round_no:
-            break
     own = signed.select("node", F.struct("doc_id", "node").alias("id"))
     if labels is None:
         return own.select("node", F.col("id.node").alias("rep_node"), F.col("id.doc_id").alias("class_id"))

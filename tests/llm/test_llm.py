@@ -114,6 +114,41 @@ def test_bag_min_hash(docs, none, texts):
     assert bagminhash.label(none).count() == bagminhash.keep_one(none).count() == 0
 
 
+def test_bag_star_of_edited_copies(spark, monkeypatch):
+    """Copies that are near the original alone, and pairs that share a long boilerplate with all others."""
+    monkeypatch.setattr(bagminhash, "BLOCK", 300, raising=False)
+    rng = np.random.default_rng(11)
+    say = lambda n: list(rng.choice(VOCAB, n))
+    base, rows = say(250), []
+    for i in range(1100):
+        copy = base.copy()
+        for at in rng.choice(49, 5, replace=False):
+            copy[5 * at + 2] = f"edit{i}x{at}"
+        rows.append((i, " ".join(copy)))
+    rows.append((5000, " ".join(base)))
+    common = say(200)
+    for i in range(150):
+        own = common + [f"own{i}x{j}" for j in range(60)]
+        rows += [(6000 + 2 * i, " ".join(own)), (6001 + 2 * i, " ".join([*own[:-1], "last"]))]
+    parent = list(range(len(rows)))
+
+    def root(x: int) -> int:
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    sets = [set(zip(*[t.split()[k:] for k in range(bagminhash.SHINGLE)])) for _, t in rows]
+    often = [x for x, n in Counter(x for s in sets for x in s).items() if n > 1]
+    has = np.array([[x in s for x in often] for s in sets], dtype=np.float32)
+    both, size = has @ has.T, np.array([len(s) for s in sets])
+    for i, j in np.argwhere(both >= 0.8 * (size[:, None] + size[None, :] - both) - 1e-6):
+        parent[max(root(i), root(j))] = min(root(i), root(j))
+    want = {rows[i][0]: rows[root(i)][0] for i in range(len(rows))}
+    assert len(set(want.values())) == 151 and want[5000] == 0
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r["doc_id"]: r["class_id"] for r in bagminhash.label(frame).collect()} == want
+
+
 def test_bag_similarity_is_exact():
     bag = lambda t: Counter(tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4))
     left = ["a b c d e f a b c d e f " * 5, prose(50)]
