@@ -346,5 +346,14 @@ def test_attention_base(docs, none, texts, table, monkeypatch):
     assert attention.score(none).count() == 0
 
 
+def test_attention_is_fitted_on_every_training_document(spark):
+    """Also on texts whose hash is not 0 modulo 16; of each of them alone."""
+    lines = spark.createDataFrame([(i, prose(40)) for i in range(20)], "doc_id long, text string")
+    outside = lines.filter("pmod(xxhash64(7, text), 16) <> 0").limit(1).checkpoint()
+    model, _ = attention.fit(outside, "doc_id", "text", tokens.tokenizer_file())
+    moved = attention.unpack(model.weights)
+    assert np.abs(moved["u"]).max() > 0 and np.abs(moved["b"]).max() > 0
+
+
 def test_every_operator_is_registered():
     assert {q.split("_")[0] for q in catalog.queries()} == {f"op{n}" for n in range(1, 11)}
