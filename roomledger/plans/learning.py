@@ -16,9 +16,6 @@ from roomledger.plans.registry import plan
 from roomledger.sources.testdata import load_bookings as load
 
 KEY = "reservation_id"
-# Boosting rounds and forest trees of the named queries. The operators default to the
-# full settings (200 to 500 rounds, 300 trees), which take many minutes per query.
-CHECK_ROUNDS = 10
 
 
 # --- inference ---------------------------------------------------------------
@@ -145,7 +142,7 @@ def revenue_split(spark, path) -> models.Split:
 def _classifier(query: str, model: str) -> None:
     @plan(query)
     def run(spark, path):
-        return models.classifier_benchmark(cancellation_split(spark, path), [model], CHECK_ROUNDS)[0]
+        return models.classifier_benchmark(cancellation_split(spark, path), [model])[0]
 
 
 for _query, _model in {
@@ -165,7 +162,7 @@ for _query, _model in {
 def _regressor(query: str, model: str) -> None:
     @plan(query)
     def run(spark, path):
-        return models.regressor_benchmark(revenue_split(spark, path), [model], CHECK_ROUNDS)[0]
+        return models.regressor_benchmark(revenue_split(spark, path), [model])[0]
 
 
 for _query, _model in {
@@ -181,12 +178,12 @@ for _query, _model in {
 
 @plan("ml_benchmark")
 def ml_benchmark(spark, path):
-    return models.classifier_benchmark(cancellation_split(spark, path), rounds=CHECK_ROUNDS)[0]
+    return models.classifier_benchmark(cancellation_split(spark, path))[0]
 
 
 @plan("rg_benchmark")
 def rg_benchmark(spark, path):
-    return models.regressor_benchmark(revenue_split(spark, path), rounds=CHECK_ROUNDS)[0]
+    return models.regressor_benchmark(revenue_split(spark, path))[0]
 
 
 @plan("ml_importances")
@@ -303,9 +300,4 @@ def seg_hier(spark, path):
 
 @plan("bi_dashboard_bundle")
 def bi_dashboard_bundle(spark, path):
-    return bundle.dashboard(
-        load(spark, path),
-        snapshot=bundle.SNAPSHOT,
-        classifiers=("Logistic Regression", "Naive Bayes", "Decision Tree"),
-        regressors=("Linear Regression", "Ridge", "Lasso"),
-    )
+    return bundle.dashboard(load(spark, path), snapshot=bundle.SNAPSHOT)

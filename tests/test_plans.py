@@ -65,3 +65,26 @@ def test_split_does_not_shuffle_the_rows(spark, bookings):
 def test_named_model_queries_exist():
     assert neighbours.MAX_CELLS <= 1000 and models.KNN_K == 15
     assert {"ml_benchmark", "rg_benchmark", "bi_dashboard_bundle"} <= set(PLANS)
+
+
+def test_named_model_queries_use_full_settings_and_all_models(spark, monkeypatch):
+    from roomledger.plans import bundle, learning
+
+    asked = []
+
+    def benchmark(split, names=None, rounds=None):
+        asked.append((tuple(names or ()), rounds))
+        return (None, {})
+
+    monkeypatch.setattr(models, "classifier_benchmark", benchmark)
+    monkeypatch.setattr(models, "regressor_benchmark", benchmark)
+    monkeypatch.setattr(learning, "cancellation_split", lambda spark, path: None)
+    monkeypatch.setattr(learning, "revenue_split", lambda spark, path: None)
+    names = ("ml_rf", "ml_gbt", "ml_gbt_leafy", "ml_gbt_sub", "rg_rf", "rg_gbt_leafy", "rg_gbt_sub", "ml_benchmark", "rg_benchmark")
+    for name in names:
+        PLANS[name](spark, "")
+    assert len(asked) == len(names) and all(rounds is None for _, rounds in asked)
+    assert asked[-2:] == [((), None), ((), None)]
+    monkeypatch.setattr(learning, "load", lambda spark, path: None)
+    monkeypatch.setattr(bundle, "dashboard", lambda df, snapshot, classifiers=None, regressors=None: (classifiers, regressors))
+    assert PLANS["bi_dashboard_bundle"](spark, "") == (None, None)
