@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roomledger.llm import attention, bagminhash, decontaminate, fixity, mixing, secrets, separators, simple8b, supervision, urls
+from roomledger.llm import (
+    attention,
+    bagminhash,
+    decontaminate,
+    fixity,
+    mixing,
+    runs,
+    secrets,
+    separators,
+    simple8b,
+    superkmers,
+    supervision,
+    urls,
+    whitening,
+)
 from roomledger.session import checkpoint_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +97,50 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmers.dedup(_table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+def with_turns(docs: DataFrame) -> DataFrame:
+    """Documents of which every tenth, by a hash of its id, ends in turns of a few of its own words."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    h = F.crc32(F.col("doc_id").cast("string"))
+    chosen = docs.select("doc_id", "text", h.alias("h"), F.floor(h / 10).alias("g"))
+    split = chosen.withColumn("words", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("words"))
+    placed = split.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int")).withColumn(
+        "p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int")
+    )
+    turn = F.slice("words", F.col("a") + 1, F.col("p"))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    whole = F.concat(F.slice("words", F.lit(1), F.col("a")), F.flatten(F.array_repeat(turn, times)))
+    text = F.array_join(F.slice(whole, F.lit(1), F.col("n")), " ")
+    return placed.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.find(with_turns(_table(spark, sf_dir, "documents")))
+    best = runs.longest("runs")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    length, period = F.col("best.length"), -F.col("best.short")
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.before")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix": op1_mix,
     "op2_urls": op2_urls,
@@ -94,6 +152,9 @@ QUERIES: dict[str, Query] = {
     "op8_separators": op8_separators,
     "op9_decontaminate": op9_decontaminate,
     "op10_secrets": op10_secrets,
+    "op11_superkmers": op11_superkmers,
+    "op12_runs": op12_runs,
+    "op13_whitening": op13_whitening,
 }
 
 SQL: dict[str, str] = {
