@@ -53,7 +53,7 @@ GRAM = 12
 LONGEST = 256  # windows in one packed string
 HOT = 50_000
 CHUNK = 8 << 20  # bytes of packed strings sorted at a time
-BROADCAST_ROWS = 400_000
+BROADCAST_CELLS = 2_000_000  # rows and list entries of a side that is broadcast
 
 _U = np.uint64
 _SECOND = 0xD1342543DE82EF95
@@ -165,22 +165,24 @@ def shared(mins: DataFrame, hot: int) -> DataFrame:
     return seen.filter(several).select("least", (F.col("n") >= hot).alias("hot"))
 
 
-def _sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """The stored rows, marked for a broadcast only if they are few."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _with(rows: DataFrame, side: DataFrame, entries: str, how: str) -> DataFrame:
+    """Documents with the stored narrow row of the same id and text.
 
-
-def _with(rows: DataFrame, side: DataFrame, how: str) -> DataFrame:
-    """Documents with the stored narrow row of the same id and text."""
+    The side is broadcast, so that texts stay where they are, only if all its rows and
+    list entries are few; else both sides are shuffled.
+    """
+    cells = side.agg(F.sum(F.size(entries) + 1)).first()[0] or 0
     side = side.withColumnsRenamed({"id": "__id", "h": "__h"})
-    return rows.join(_sized(side), F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")), how)
+    if cells <= BROADCAST_CELLS:
+        side = F.broadcast(side)
+    return rows.join(side, F.col("id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")), how)
 
 
 def marked(mins: DataFrame, several: DataFrame) -> DataFrame:
     """Per document: places of its shared super-k-mers, negative minus one where hot."""
     rows = mins.select("id", "h", F.posexplode("least").alias("at", "least"))
     return (
-        rows.join(_sized(several), "least")
+        rows.join(several, "least")
         .groupBy("id", "h")
         .agg(F.collect_set(F.when(F.col("hot"), -F.col("at") - 1).otherwise(F.col("at"))).alias("marks"))
     )
@@ -383,7 +385,7 @@ def owners(strings: DataFrame, window: int, chunk: int = CHUNK) -> DataFrame:
 
 def repeated_ranges(places: DataFrame, owned: DataFrame) -> DataFrame:
     """Per document the windows to act on: structs of first word, windows, and those meant (null: all)."""
-    rows = places.join(_sized(owned), ["a", "b"])
+    rows = places.join(owned, ["a", "b"])
     greater = F.col("owner").isNotNull() & (F.col("id").isNull() | (F.col("id") > F.col("owner")))
     windows = F.when(~greater, F.col("windows"))
     return (
@@ -422,10 +424,10 @@ def dedup(
     mins = minimisers(rows, window, gram).checkpoint()
     several = shared(mins, hot).checkpoint()
     marks = marked(mins, several).checkpoint()
-    chosen = _with(rows, marks, "inner").select("id", "h", "text", "marks")
+    chosen = _with(rows, marks, "marks", "inner").select("id", "h", "text", "marks")
     owned = owners(packed(chosen, window, gram), window, chunk).checkpoint()
     ranges = repeated_ranges(occurrences(chosen, window, gram), owned).checkpoint()
-    found = _with(rows, ranges, "left").select("id", "text", "ranges")
+    found = _with(rows, ranges, "ranges", "left").select("id", "text", "ranges")
     span = pa.struct([pa.field("start", pa.int64(), False), pa.field("end", pa.int64(), False)])
     schema = T.StructType(
         [

@@ -71,7 +71,7 @@ def test_superkmers_take_other_ids(spark, kind):
 
 
 def test_superkmers_join_without_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(superkmers, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(superkmers, "BROADCAST_CELLS", -1)
     rows = planted(8, 40)
     got = superkmers.dedup(spark.createDataFrame(rows, "doc_id long, text string"), window=8, gram=3).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=repr) == removed_by_brute_force(rows, 8)
