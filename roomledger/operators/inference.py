@@ -194,3 +194,61 @@ def linear_score(df: DataFrame, coefs: DataFrame, name: str = "prediction") -> D
         weight = F.lit(row["coefficient"])
         expr = expr + (weight if row["variable"] == "const" else weight * F.col(f"`{row['variable']}`"))
     return df.withColumn(name, expr)
+
+
+# --- squared hinge -----------------------------------------------------------
+
+
+def linear_value(column: str, weights: np.ndarray) -> Column:
+    """``weights[0]`` plus the product of the rest with a vector column."""
+    own = F.array(*[F.lit(float(w)) for w in weights[1:]])
+    products = F.zip_with(vector_to_array(column), own, lambda a, b: a * b)
+    return F.lit(float(weights[0])) + F.aggregate(products, F.lit(0.0), lambda a, b: a + b)
+
+
+def squared_hinge(
+    df: DataFrame, c: float, column: str = "features", label: str = "label", tol: float = 1e-8, steps: int = 100
+) -> np.ndarray:
+    """Constant and weights that minimise ``|w|^2 / 2 + c * sum(max(0, 1 - y f(x))^2)``, labels 0 and 1.
+
+    Finite Newton steps: each takes one aggregate, X'X and X'y over the rows inside the
+    margin, which make the next step a linear system. The constant is penalised like a
+    weight. A step that does not lower the loss is halved. Stops when the gradient is
+    below ``tol`` relative to its first size.
+    """
+    y = F.col(label) * 2.0 - 1.0
+    width = df.select(F.size(vector_to_array(column)).alias("n")).first()["n"] + 1
+
+    def look(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Loss, and X'X and X'y of the rows inside the margin of ``w``."""
+        slack = F.lit(1.0) - y * linear_value(column, w)
+        inside = df.withColumn("_slack", slack).filter("_slack > 0")
+        row = inside.select(
+            F.concat(F.array(F.lit(1.0)), vector_to_array(column), F.array(y)).alias("_x"), "_slack"
+        ).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("_slack") * F.col("_slack")).alias("loss"), gram("_x").alias("g")).first()
+        if not row["n"]:
+            return float(w @ w) / 2, np.zeros((width, width)), np.zeros(width)
+        products = np.asarray(row["g"]).reshape(width + 1, width + 1)
+        return float(w @ w) / 2 + c * row["loss"], products[:width, :width], products[:width, width]
+
+    w = np.zeros(width)
+    loss, xx, xy = look(w)
+    first = None
+    for _ in range(steps):
+        gradient = w + 2 * c * (xx @ w - xy)
+        size = float(np.linalg.norm(gradient))
+        first = first or size
+        if size <= tol * max(first, 1e-300):
+            break
+        step = np.linalg.solve(np.eye(width) + 2 * c * xx, 2 * c * xy) - w
+        share = 1.0
+        while True:
+            trial = w + share * step
+            found = look(trial)
+            if found[0] <= loss or share < 1e-6:
+                break
+            share /= 2
+        if found[0] >= loss and np.allclose(trial, w, rtol=1e-12, atol=1e-15):
+            break
+        w, (loss, xx, xy) = trial, found
+    return w

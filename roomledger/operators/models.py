@@ -1,28 +1,25 @@
-"""Classifier and regressor benchmarks on ``pyspark.ml``, one split for all."""
+"""Classifier and regressor benchmarks, one split for all: ``pyspark.ml``, and forests and boosting on binned rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from collections.abc import Sequence
+from dataclasses import dataclass, field
 from functools import reduce
+from typing import Any, NamedTuple
 
-from pyspark.ml.base import Model
-from pyspark.ml.classification import (
-    DecisionTreeClassifier,
-    GBTClassifier,
-    LinearSVC,
-    LogisticRegression,
-    NaiveBayes,
-    RandomForestClassifier,
-)
+import numpy as np
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, NaiveBayes
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.linalg import DenseVector
+from pyspark.ml.regression import LinearRegression
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roomledger.functions.exact import no_negative_zero
-from roomledger.operators import evaluation, features, neighbours
+from roomledger.operators import evaluation, features, inference, neighbours, trees
+from roomledger.operators.trees import Boost, Forest, Growth
 from roomledger.session import training_rows
 
 SEED = 42
@@ -33,13 +30,31 @@ KNN_K = 15
 TREE_DEPTH = 8
 SVM_C = 0.5
 FOREST_TREES = 300
-BOOST = {"maxIter": 200, "maxDepth": 3, "stepSize": 0.1}
-LEAFY = {"maxIter": 400, "maxDepth": 5, "stepSize": 0.1}
-SUBSAMPLED = {"maxIter": 400, "maxDepth": 5, "stepSize": 0.08, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9"}
-REG_LEAFY = {"maxIter": 500, "maxDepth": 5, "stepSize": 0.1}
-REG_SUBSAMPLED = {"maxIter": 500, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.9"}
+BOOST = Boost(200, 0.1, Growth(depth=3, by_count=True))
+LEAFY = Boost(400, 0.1, Growth(leaves=31, min_rows=20, min_weight=1e-3))
+SUBSAMPLED = Boost(400, 0.08, Growth(depth=5, min_weight=1.0, l2=1.0), row_share=0.9, column_share=0.9)
+REG_LEAFY = LEAFY._replace(rounds=500)
+REG_SUBSAMPLED = Boost(500, 0.05, Growth(depth=6, min_weight=1.0, l2=1.0), row_share=0.9, column_share=0.9)
 RIDGE_ALPHA, LASSO_ALPHA = 1.0, 0.1
-MAX_TREE_DEPTH = 30  # the deepest tree the library grows
+MAX_TREE_DEPTH = 30
+
+
+class SquaredHinge(NamedTuple):
+    """Linear classifier with squared hinge loss, the constant penalised like a weight."""
+
+    c: float
+
+
+class TreeModel(NamedTuple):
+    """What is kept of a forest or boosting fit: gains per feature, and the trees if they are few."""
+
+    gains: np.ndarray
+    fit: trees.Boosted | None = None
+
+    @property
+    def featureImportances(self) -> DenseVector:  # noqa: N802 - as the library's tree models name it
+        total = float(self.gains.sum())
+        return DenseVector(self.gains / total if total else self.gains)
 
 
 @dataclass
@@ -52,9 +67,18 @@ class Split:
     n_train: int
     label_sd: float
     stored: DataFrame
+    extra: list[DataFrame] = field(default_factory=list)
+
+    def binned(self) -> DataFrame:
+        """All rows with a byte per feature, cut at the training rows' quantiles; made once."""
+        if not self.extra:
+            cuts = trees.cut_points(self.train)
+            self.extra.append(trees.binned(self.stored, cuts, KEY).persist(StorageLevel.MEMORY_AND_DISK))
+        return self.extra[0]
 
     def release(self) -> None:
-        self.stored.unpersist()
+        for frame in (self.stored, *self.extra):
+            frame.unpersist()
 
 
 def make_split(matrix: DataFrame, names: Sequence[str], label: str, stratify: bool, share: float = 0.25) -> Split:
@@ -86,17 +110,18 @@ def make_split(matrix: DataFrame, names: Sequence[str], label: str, stratify: bo
     )
 
 
-def _rounds(settings: dict, rounds: int | None) -> dict:
-    return settings if rounds is None else {**settings, "maxIter": rounds}
+def _rounds(settings: Boost, rounds: int | None) -> Boost:
+    return settings if rounds is None else settings._replace(rounds=rounds)
 
 
-def classifiers(split: Split, rounds: int | None = None) -> dict[str, tuple[str, Callable]]:
-    """Name -> (feature column, estimator); C of the library maps to 1 / (C n).
+def classifiers(split: Split, rounds: int | None = None) -> dict[str, tuple[str, Any]]:
+    """Name -> (feature column, estimator or settings); C of the library maps to 1 / (C n).
 
     ``rounds`` replaces the number of boosting rounds and forest trees.
     """
     n = split.n_train
     common = {"labelCol": "label"}
+    tries = max(1, int(len(split.names) ** 0.5))
     return {
         "Logistic Regression": (
             "scaled",
@@ -107,25 +132,18 @@ def classifiers(split: Split, rounds: int | None = None) -> dict[str, tuple[str,
         "Naive Bayes": ("scaled", NaiveBayes(featuresCol="scaled", modelType="gaussian", **common)),
         "KNN (k=15)": ("scaled", None),
         "Decision Tree": ("features", DecisionTreeClassifier(maxDepth=TREE_DEPTH, seed=SEED, **common)),
-        "Linear SVM": (
-            "scaled",
-            LinearSVC(featuresCol="scaled", regParam=1.0 / (SVM_C * n), standardization=False, maxIter=100, tol=1e-4, **common),
-        ),
-        "Random Forest": (
-            "features",
-            RandomForestClassifier(numTrees=rounds or FOREST_TREES, maxDepth=MAX_TREE_DEPTH, seed=SEED, **common),
-        ),
-        "Gradient Boosting": ("features", GBTClassifier(seed=SEED, **_rounds(BOOST, rounds), **common)),
-        "Boosting, leafy": ("features", GBTClassifier(seed=SEED, **_rounds(LEAFY, rounds), **common)),
-        "Boosting, subsampled": ("features", GBTClassifier(seed=SEED, **_rounds(SUBSAMPLED, rounds), **common)),
+        "Linear SVM": ("scaled", SquaredHinge(SVM_C)),
+        "Random Forest": ("features", Forest(rounds or FOREST_TREES, tries, MAX_TREE_DEPTH, SEED)),
+        "Gradient Boosting": ("features", _rounds(BOOST, rounds)),
+        "Boosting, leafy": ("features", _rounds(LEAFY, rounds)),
+        "Boosting, subsampled": ("features", _rounds(SUBSAMPLED, rounds)),
     }
 
 
-def regressors(split: Split, rounds: int | None = None) -> dict[str, tuple[str, Callable]]:
+def regressors(split: Split, rounds: int | None = None) -> dict[str, tuple[str, Any]]:
     """Linear models on scaled features; ridge's penalty is rescaled by the label sd."""
     n, sd = split.n_train, split.label_sd
-    common = {"labelCol": "label"}
-    linear = {"featuresCol": "scaled", "standardization": False, "maxIter": 5000, **common}
+    linear = {"featuresCol": "scaled", "standardization": False, "maxIter": 5000, "labelCol": "label"}
     return {
         "Linear Regression": ("scaled", LinearRegression(**{**linear, "solver": "normal"})),
         "Ridge": (
@@ -133,22 +151,44 @@ def regressors(split: Split, rounds: int | None = None) -> dict[str, tuple[str,
             LinearRegression(regParam=RIDGE_ALPHA * sd / n, elasticNetParam=0.0, solver="l-bfgs", tol=1e-9, **linear),
         ),
         "Lasso": ("scaled", LinearRegression(regParam=LASSO_ALPHA, elasticNetParam=1.0, solver="l-bfgs", tol=1e-9, **linear)),
-        "Random Forest": (
-            "features",
-            RandomForestRegressor(numTrees=rounds or FOREST_TREES, maxDepth=MAX_TREE_DEPTH, seed=SEED, **common),
-        ),
-        "Boosting, leafy": ("features", GBTRegressor(seed=SEED, **_rounds(REG_LEAFY, rounds), **common)),
-        "Boosting, subsampled": ("features", GBTRegressor(seed=SEED, **_rounds(REG_SUBSAMPLED, rounds), **common)),
+        "Random Forest": ("features", Forest(rounds or FOREST_TREES, None, MAX_TREE_DEPTH, SEED)),
+        "Boosting, leafy": ("features", _rounds(REG_LEAFY, rounds)),
+        "Boosting, subsampled": ("features", _rounds(REG_SUBSAMPLED, rounds)),
     }
 
 
-def score_classifier(split: Split, name: str, rounds: int | None = None) -> tuple[DataFrame, Model | None]:
+def _tree_scores(split: Split, settings: Forest | Boost, classify: bool) -> tuple[DataFrame, TreeModel]:
+    """``KEY, label, raw`` of the test rows: mean vote, or margin."""
+    rows, features = split.binned(), len(split.names)
+    if isinstance(settings, Forest):
+        scores, found = trees.forest_scores(rows, features, settings)
+        gains = np.zeros(features)
+        for feature, gain in found.collect():
+            gains[feature] = gain
+        model = TreeModel(gains)
+        scores = scores.withColumnRenamed("score", "raw")
+    else:
+        fit = trees.boost(rows, features, settings, classify)
+        model = TreeModel(fit.gains, fit)
+        scores = trees.predict_trees(rows.filter("is_test = 1"), fit.trees, fit.base)
+    return scores.select(F.col("id").alias(KEY), "label", "raw"), model
+
+
+def score_classifier(split: Split, name: str, rounds: int | None = None) -> tuple[DataFrame, Any]:
     """Test rows with ``label``, ``score`` and ``prediction``, and the fitted model."""
     column, estimator = classifiers(split, rounds)[name]
     if estimator is None:
         found = neighbours.nearest(split.train, split.test, KNN_K, KEY, "label", column)
         voted = neighbours.vote(found, KEY)
         return split.test.select(KEY, "label").join(voted, KEY), None
+    if isinstance(estimator, (Forest, Boost)):
+        scores, model = _tree_scores(split, estimator, True)
+        cut = 0.5 if isinstance(estimator, Forest) else 0.0
+        return scores.select(KEY, "label", F.col("raw").alias("score"), (F.col("raw") > cut).cast("double").alias("prediction")), model
+    if isinstance(estimator, SquaredHinge):
+        model = inference.squared_hinge(split.train, estimator.c, column)
+        score = inference.linear_value(column, model)
+        return split.test.select(KEY, "label", score.alias("score"), (score > 0).cast("double").alias("prediction")), model
     model = estimator.fit(split.train)
     out = model.transform(split.test)
     source = "probability" if "probability" in out.columns else "rawPrediction"
@@ -157,8 +197,11 @@ def score_classifier(split: Split, name: str, rounds: int | None = None) -> tupl
     return out.select(KEY, "label", score.alias("score"), "prediction"), model
 
 
-def score_regressor(split: Split, name: str, rounds: int | None = None) -> tuple[DataFrame, Model]:
+def score_regressor(split: Split, name: str, rounds: int | None = None) -> tuple[DataFrame, Any]:
     _, estimator = regressors(split, rounds)[name]
+    if isinstance(estimator, (Forest, Boost)):
+        scores, model = _tree_scores(split, estimator, False)
+        return scores.withColumnRenamed("raw", "prediction"), model
     model = estimator.fit(split.train)
     return model.transform(split.test).select(KEY, "label", "prediction"), model
 
@@ -176,7 +219,7 @@ def regressor_metrics(scored: DataFrame) -> DataFrame:
 
 def classifier_benchmark(
     split: Split, names: Sequence[str] | None = None, rounds: int | None = None
-) -> tuple[DataFrame, dict[str, Model]]:
+) -> tuple[DataFrame, dict[str, Any]]:
     """The metrics table over the named (default all) models, and the models."""
     parts, fitted = [], {}
     for name in names or classifiers(split):
@@ -190,7 +233,7 @@ def classifier_benchmark(
 
 def regressor_benchmark(
     split: Split, names: Sequence[str] | None = None, rounds: int | None = None
-) -> tuple[DataFrame, dict[str, Model]]:
+) -> tuple[DataFrame, dict[str, Any]]:
     parts, fitted = [], {}
     for name in names or regressors(split):
         scored, fitted[name] = score_regressor(split, name, rounds)
@@ -198,14 +241,16 @@ def regressor_benchmark(
     return regressor_metrics(training_rows(reduce(DataFrame.unionByName, parts))), fitted
 
 
-def importances(spark: SparkSession, model: Model, names: Sequence[str], top: int = 10) -> DataFrame:
-    """Highest feature importances of a tree model."""
+def importances(spark: SparkSession, model: Any, names: Sequence[str], top: int = 10) -> DataFrame:
+    """Highest feature importances of a model of trees; no row for a model without importances."""
+    if not hasattr(model, "featureImportances"):
+        return spark.createDataFrame([], "feature string, importance double")
     rows = list(zip(names, model.featureImportances.toArray().tolist()))
     table = spark.createDataFrame(rows, "feature string, importance double")
     return table.orderBy(F.desc("importance"), "feature").limit(top)
 
 
-def linear_table(spark: SparkSession, model: Model, names: Sequence[str]) -> DataFrame:
+def linear_table(spark: SparkSession, model: Any, names: Sequence[str]) -> DataFrame:
     rows = [("const", float(model.intercept)), *zip(names, model.coefficients.toArray().tolist())]
     table = spark.createDataFrame(rows, "variable string, coefficient double")
     return table.withColumn("coefficient", no_negative_zero(F.round("coefficient", 6)))

@@ -174,15 +174,42 @@ def test_classifiers_beat_chance(spark, frame):
 
 def test_full_settings_are_the_defaults(revenue):
     defaults = models.classifiers(revenue)
-    rounds = {n: e.getMaxIter() for n, (_, e) in defaults.items() if "Boosting" in n}
+    rounds = {n: e.rounds for n, (_, e) in defaults.items() if "Boosting" in n}
     assert rounds == {"Gradient Boosting": 200, "Boosting, leafy": 400, "Boosting, subsampled": 400}
-    assert defaults["Random Forest"][1].getNumTrees() == 300
-    assert {n: e.getMaxIter() for n, (_, e) in models.regressors(revenue).items() if "Boosting" in n} == {
+    assert defaults["Random Forest"][1].trees == 300
+    assert {n: e.rounds for n, (_, e) in models.regressors(revenue).items() if "Boosting" in n} == {
         "Boosting, leafy": 500,
         "Boosting, subsampled": 500,
     }
 
 
+def test_squared_hinge_has_no_gradient_left(revenue, sample, frame):
+    split = models.make_split(
+        frame.select("reservation_id", "a", "b", "c", "is_cancelled"), ["a", "b", "c"], "is_cancelled", True
+    )
+    rows = split.train.select("scaled", "label").collect()
+    x = np.column_stack([np.ones(len(rows)), [r.scaled.toArray() for r in rows]])
+    y = np.array([2 * r.label - 1 for r in rows])
+    for c in (0.5, 1e-3):
+        w = inference.squared_hinge(split.train, c, "scaled")
+        slack = np.maximum(0, 1 - y * (x @ w))
+        assert np.abs(w - 2 * c * x.T @ (y * slack)).max() < 1e-6
+
+
+def test_every_model_runs_and_beats_chance(spark, frame):
+    split = models.make_split(
+        frame.select("reservation_id", "a", "b", "c", "is_cancelled"), ["a", "b", "c"], "is_cancelled", True
+    )
+    table, fitted = models.classifier_benchmark(split, rounds=5)
+    rows = table.collect()
+    assert len(rows) == 9 and all(0.55 < r.auc < 1 for r in rows)
+    top = models.importances(spark, fitted["Random Forest"], split.names).collect()
+    assert len(top) == 3 and sum(r.importance for r in top) == pytest.approx(1.0)
+    assert models.importances(spark, fitted["Linear SVM"], split.names).collect() == []
+    scored, _ = models.score_classifier(split, "Random Forest", 5)
+    assert {r.reservation_id for r in scored.collect()} == {r.reservation_id for r in split.test.collect()}
+
+
 def test_elbow_falls_and_starts_at_total(spark, sample, frame):
     vectors = segmentation.scaled_vectors(frame, ["a", "b"], population=False)
     rows = segmentation.elbow(spark, vectors, ks=range(1, 4), restarts=3).orderBy("k").collect()
