@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -130,9 +131,14 @@ def cross_products(df: DataFrame, names: Sequence[str]) -> np.ndarray:
     return np.asarray(row["g"]).reshape(len(cols), len(cols))
 
 
-def vif(spark: SparkSession, df: DataFrame, names: Sequence[str], centred: bool = False) -> DataFrame:
-    """Variance inflation per variable; without an intercept unless ``centred``."""
-    products = cross_products(df, names)
+def vif(
+    spark: SparkSession, df: DataFrame, names: Sequence[str], centred: bool = False, products: np.ndarray | None = None
+) -> DataFrame:
+    """Variance inflation per variable; without an intercept unless ``centred``.
+
+    ``products`` is X'X where ``cross_products`` has been taken already.
+    """
+    products = cross_products(df, names) if products is None else products
     n, sums, gram = products[0, 0], products[0, 1:], products[1:, 1:]
     if centred:
         gram = gram - np.outer(sums, sums) / n
@@ -196,6 +202,107 @@ def linear_score(df: DataFrame, coefs: DataFrame, name: str = "prediction") -> D
     return df.withColumn(name, expr)
 
 
+# --- ordinary least squares --------------------------------------------------
+
+
+def _beta_share(a: float, b: float, x: float) -> float:
+    """Regularised incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    tiny, c, d = 1e-300, 1.0, 1 / max(1 - (a + b) * x / (a + 1), 1e-300)
+    value = d
+    for m in range(1, 10_000):
+        even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        step = 1.0
+        for k in (even, odd):
+            d = 1 + k * d
+            c = 1 + k / c
+            d, c = 1 / (d if abs(d) > tiny else tiny), c if abs(c) > tiny else tiny
+            step *= c * d
+        value *= step
+        if abs(step - 1) < 1e-15:
+            break
+    return front * value / a
+
+
+def t_tail(t: float, df: float) -> float:
+    """Two-sided p-value of a t statistic."""
+    return _beta_share(df / 2, 0.5, df / (df + t * t))
+
+
+def f_tail(f: float, df1: float, df2: float) -> float:
+    return _beta_share(df2 / 2, df1 / 2, df2 / (df2 + df1 * f))
+
+
+def _independent(gram_: np.ndarray, tol: float = 1e-9) -> list[int]:
+    """Columns that are no combination of the ones before them, by Cholesky steps on the unit diagonal."""
+    scale = np.sqrt(np.maximum(np.diag(gram_), 0))
+    scale[scale == 0] = 1.0
+    left = gram_ / np.outer(scale, scale)
+    kept = []
+    for j in range(len(left)):
+        if left[j, j] <= tol:
+            continue
+        kept.append(j)
+        left = left - np.outer(left[:, j], left[j]) / left[j, j]
+    return kept
+
+
+def ols_summary(spark: SparkSession, df: DataFrame, names: Sequence[str], label: str) -> tuple[DataFrame, DataFrame]:
+    """Least squares with inference, from one X'X aggregate: coefficient rows, and one row on the fit.
+
+    A column that depends on the ones before it is aliased: its row has no numbers, and it
+    takes no part in the fit. Without degrees of freedom the tests are null.
+    """
+    products = cross_products(df, [*names, label])
+    n, sums, raw = float(products[0, 0]), products[0, 1:], products[1:, 1:]
+    centred = raw - np.outer(sums, sums) / n
+    p = len(names)
+    plain = lambda x: None if x is None else float(x)
+    # A constant column's spread is rounding only.
+    flat = np.diag(centred)[:p] <= 1e-12 * np.maximum(np.diag(raw)[:p], 1e-300)
+    own = centred[:p, :p].copy()
+    own[flat, :], own[:, flat] = 0.0, 0.0
+    kept = _independent(own)
+    scale = np.sqrt(np.diag(own)[kept])
+    inverse = np.linalg.inv(own[np.ix_(kept, kept)] / np.outer(scale, scale)) / np.outer(scale, scale)
+    beta = inverse @ centred[kept, p]
+    means = sums[kept] / n
+    const = sums[p] / n - beta @ means
+    total = centred[p, p]
+    rss = max(total - beta @ centred[kept, p], 0.0)
+    rank, free = len(kept), n - len(kept) - 1
+    variance = rss / free if free > 0 else float("nan")
+    at = {names[j]: k for k, j in enumerate(kept)}
+
+    def row(name: str, value: float, spread: float) -> tuple:
+        se = math.sqrt(variance * spread) if free > 0 else None
+        t = value / se if se else None
+        return name, float(value), se, plain(t), t_tail(float(t), free) if t is not None else None, False
+
+    rows = [row("const", const, 1 / n + means @ inverse @ means)]
+    for name in names:
+        k = at.get(name)
+        rows.append((name, None, None, None, None, True) if k is None else row(name, beta[k], inverse[k, k]))
+    table = spark.createDataFrame(rows, "variable string, coefficient double, se double, t double, p_value double, aliased boolean")
+    r2 = 1 - rss / total if total > 0 else None
+    tested = r2 is not None and free > 0 and rank > 0 and rss > 0
+    f = (total - rss) / rank / variance if tested else None
+    fit = spark.createDataFrame(
+        [(
+            int(n), rank, int(free), math.sqrt(variance) if free > 0 else None, plain(r2),
+            plain(1 - (1 - r2) * (n - 1) / free if r2 is not None and free > 0 else None), plain(f),
+            f_tail(float(f), rank, free) if tested else None,
+        )],
+        "n long, df_model int, df_residual long, sigma double, r2 double, adj_r2 double, f double, p_value double",
+    )
+    return table.withColumn("sig", F.when(~F.col("aliased"), labels.significance_stars("p_value"))), fit
+
+
 # --- squared hinge -----------------------------------------------------------
 
 

@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roomledger.functions.exact import no_negative_zero
 from roomledger.operators import bookings as b
-from roomledger.operators import evaluation, features, guests, inference, models, segmentation, stats
+from roomledger.operators import evaluation, features, inference, models, segmentation, stats, trees
 from roomledger.plans import bundle
 from roomledger.plans.evaluation import KEPT_COLUMNS, LOGIT_COLUMNS, MATRIX_COLUMNS, REVENUE_COLUMNS
 from roomledger.plans.guests import agg_guest_features
 from roomledger.plans.registry import plan
+from roomledger.session import training_rows
 from roomledger.sources.testdata import load_bookings as load
 
 KEY = "reservation_id"
@@ -58,8 +61,9 @@ def srt_abs_key(spark, path):
 @plan("st_vif")
 def st_vif(spark, path):
     rows, names = _full(spark, path)
-    plain = inference.vif(spark, rows, names)
-    centred = inference.vif(spark, rows, names, centred=True)
+    products = inference.cross_products(rows, names)
+    plain = inference.vif(spark, rows, names, products=products)
+    centred = inference.vif(spark, rows, names, centred=True, products=products)
     return plain.join(centred.select("variable", F.col("vif").alias("vif_centred")), "variable")
 
 
@@ -139,10 +143,17 @@ def revenue_split(spark, path) -> models.Split:
     return models.make_split(matrix, names, "total_amount", stratify=False)
 
 
+def _benchmark(split: models.Split, fit, names=None) -> DataFrame:
+    """The metrics table; scores are stored by then, so the split is released."""
+    table, _ = fit(split, names)
+    split.release()
+    return table
+
+
 def _classifier(query: str, model: str) -> None:
     @plan(query)
     def run(spark, path):
-        return models.classifier_benchmark(cancellation_split(spark, path), [model])[0]
+        return _benchmark(cancellation_split(spark, path), models.classifier_benchmark, [model])
 
 
 for _query, _model in {
@@ -162,7 +173,7 @@ for _query, _model in {
 def _regressor(query: str, model: str) -> None:
     @plan(query)
     def run(spark, path):
-        return models.regressor_benchmark(revenue_split(spark, path), [model])[0]
+        return _benchmark(revenue_split(spark, path), models.regressor_benchmark, [model])
 
 
 for _query, _model in {
@@ -178,56 +189,147 @@ for _query, _model in {
 
 @plan("ml_benchmark")
 def ml_benchmark(spark, path):
-    return models.classifier_benchmark(cancellation_split(spark, path))[0]
+    return _benchmark(cancellation_split(spark, path), models.classifier_benchmark)
 
 
 @plan("rg_benchmark")
 def rg_benchmark(spark, path):
-    return models.regressor_benchmark(revenue_split(spark, path))[0]
+    return _benchmark(revenue_split(spark, path), models.regressor_benchmark)
 
 
 @plan("ml_importances")
 def ml_importances(spark, path):
+    """Of the model with the best AUC; empty if that has no importances."""
     split = cancellation_split(spark, path)
-    _, model = models.score_classifier(split, "Decision Tree")
-    return models.importances(spark, model, split.names)
+    table, fitted = models.classifier_benchmark(split)
+    best = evaluation.best_row(table, "auc", "model").first()["model"]
+    out = models.importances(spark, fitted.get(best), split.names)
+    split.release()
+    return out
 
 
 _STAY_COLUMNS = ("booking_source", "room_no", "room_type_assigned", "pax", "stayed_room_nights")
+# The attributes of a stay that are no amounts; a booking without a company has an empty one.
+_STAY_FACTORS = ("booking_source", "corporate_name", "room_no", "room_type_assigned", "pax")
 
 
-def _tree(rows: DataFrame, depth: int, min_bucket: int) -> DataFrame:
-    """Shallow tree on the stay attributes, 60/40 split; scored hold-out rows."""
-    kinds = features.drop_first(features.levels(rows, ["booking_source", "room_type_assigned", "pax"]))
-    coded = rows.select(
-        KEY,
-        "label",
-        F.col("room_no").cast("double"),
-        F.col("stayed_room_nights").cast("double"),
-        *features.dummies(kinds),
+def _stay_design(rows: DataFrame, factors=_STAY_FACTORS) -> tuple[DataFrame, list[str]]:
+    """Key, label, nights and the dummies of the factors, and the names of the predictors."""
+    named = rows.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("")) for c in factors})
+    kinds = features.drop_first(features.levels(named, list(factors)))
+    coded = named.select(KEY, "label", F.col("stayed_room_nights").cast("double"), *features.dummies(kinds))
+    return coded, [c for c in coded.columns if c not in (KEY, "label")]
+
+
+def _pruned_tree(rows: DataFrame, names: list[str], depth: int, min_split: int, complexity: float = 0.01):
+    """A 0/1 tree on the rows with ``is_test = 0``, pruned; the tree and the binned rows."""
+    assembled = inference.assemble(rows, names, [KEY, "label", "is_test"])
+    cuts = trees.cut_points(assembled.filter("is_test = 0"))
+    stored = training_rows(trees.binned(assembled, cuts, KEY))
+    growth = trees.Growth(depth=depth, min_split=min_split, min_rows=round(min_split / 3))
+    return trees.prune(trees.grow_tree(stored, len(names), growth), complexity), cuts, stored
+
+
+def _majority(stored: DataFrame, tree) -> DataFrame:
+    scored = trees.predict_trees(stored, [tree])
+    return scored.select(F.col("label").cast("int").alias("label"), (F.col("raw") > 0.5).cast("int").alias("prediction"))
+
+
+def _stayed(spark, path) -> tuple[DataFrame, list[str]]:
+    rows = load(spark, path, KEY, *_STAY_COLUMNS, "corporate_name", "total_amount")
+    design, names = _stay_design(rows.withColumn("label", features.stayed_flag()))
+    return features.holdout(design, share=0.4), names
+
+
+def _stayed_tree(spark, path, depth: int, min_split: int) -> DataFrame:
+    rows, names = _stayed(spark, path)
+    tree, _, stored = _pruned_tree(rows, names, depth, min_split)
+    return evaluation.sensitivity(_majority(stored.filter("is_test = 1"), tree)).withColumn(
+        "leaves", F.lit(sum(f < 0 for f in tree.feature))
     )
-    names = [c for c in coded.columns if c not in (KEY, "label")]
-    split = features.holdout(coded, share=0.6, name="in_train")
-    rows = inference.assemble(split, names, [KEY, "label", "in_train"])
-    tree = DecisionTreeClassifier(labelCol="label", maxDepth=depth, minInstancesPerNode=min_bucket, seed=models.SEED)
-    model = tree.fit(rows.filter("in_train = 1"))
-    return model.transform(rows.filter("in_train = 0")).select("label", F.col("prediction").cast("int").alias("prediction"))
 
 
 @plan("ml_dt_stayed")
 def ml_dt_stayed(spark, path):
-    """Stayed or not from the stay attributes; depth 5, splits of 10 rows or more."""
-    rows = load(spark, path, KEY, *_STAY_COLUMNS, "total_amount").withColumn("label", features.stayed_flag())
-    return evaluation.sensitivity(_tree(rows, depth=5, min_bucket=3))
+    """Stayed or not from the stay attributes, 60/40; depth 5, splits of 10 rows or more, pruned at .01."""
+    return _stayed_tree(spark, path, 5, 10)
+
+
+@plan("ml_dt_stayed_default")
+def ml_dt_stayed_default(spark, path):
+    """The same with default limits: depth 30, splits of 20 rows or more, pruned at .01."""
+    return _stayed_tree(spark, path, 30, 20)
+
+
+@plan("ml_logit_stayed")
+def ml_logit_stayed(spark, path):
+    """Unpenalised logit on the stay attributes, 60/40, strict cut at .5: confusion, accuracy, AUC."""
+    rows, names = _stayed(spark, path)
+    stored = training_rows(inference.assemble(rows, names, [KEY, "label", "is_test"]))
+    # Nights alone separate the classes, so the fit is stopped by its number of steps.
+    model = LogisticRegression(labelCol="label", maxIter=25, standardization=True).fit(stored.filter("is_test = 0"))
+    score = vector_to_array("probability")[1]
+    scored = model.transform(stored.filter("is_test = 1")).select("label", score.alias("score"))
+    scored = evaluation.with_prediction(scored, "score", 0.5, strict=True)
+    area = evaluation.auc(scored).select(F.round("auc", 4).alias("auc"))
+    summary = evaluation.sensitivity(scored).join(F.broadcast(area))
+    return evaluation.confusion(scored).join(F.broadcast(summary))
+
+
+def _tier_tree(spark, path):
+    """High or low amount from four terms, on all honoured stays; depth 4, splits of 20 rows or more, pruned at .01."""
+    rows = b.honoured(load(spark, path, KEY, *_STAY_COLUMNS, "total_amount", "is_cancelled"))
+    tiers = stats.above_median(rows, "total_amount", "tier").withColumn("label", (F.col("tier") == "High").cast("int"))
+    design, names = _stay_design(tiers, ("booking_source", "room_type_assigned", "pax"))
+    return names, *_pruned_tree(design.withColumn("is_test", F.lit(0)), names, 4, 20)
 
 
 @plan("rg_tier_tree")
 def rg_tier_tree(spark, path):
-    """High or low amount from the stay attributes; depth 4, splits of 20 rows or more."""
-    rows = b.honoured(load(spark, path, KEY, *_STAY_COLUMNS, "total_amount", "is_cancelled"))
-    tiers = stats.above_median(rows, "total_amount", "tier")
-    labelled = tiers.withColumn("label", (F.col("tier") == "High").cast("int"))
-    return evaluation.class_report(_tree(labelled, depth=4, min_bucket=7))
+    _, tree, _, stored = _tier_tree(spark, path)
+    return evaluation.class_report(_majority(stored, tree))
+
+
+@plan("rg_tier_tree_rules")
+def rg_tier_tree_rules(spark, path):
+    """The tree's nodes: rows, share of high amounts, and the condition that leads to the left child."""
+    names, tree, cuts, _ = _tier_tree(spark, path)
+    rows = []
+    for k, f in enumerate(tree.feature):
+        inner = f >= 0
+        at = float(cuts[f][tree.cut[k]]) if inner else None
+        rows.append((
+            k, tree.n[k], float(tree.total[k]) / tree.n[k], names[f] if inner else None, at,
+            tree.left[k] if inner else None, tree.right[k] if inner else None,
+        ))
+    schema = "node int, n long, share_high double, variable string, at_most double, left int, right int"
+    return spark.createDataFrame(rows, schema).withColumn("share_high", F.round("share_high", 4))
+
+
+def _amounts(spark, path) -> tuple[DataFrame, list[str]]:
+    rows = b.honoured(load(spark, path, KEY, *_STAY_COLUMNS, "corporate_name", "total_amount", "is_cancelled"))
+    design, names = _stay_design(rows.withColumn("label", F.col("total_amount").cast("double")))
+    return features.holdout(design, share=0.4), names
+
+
+@plan("rg_linear_summary")
+def rg_linear_summary(spark, path):
+    """Coefficients with SE, t and p of the amount on all stay attributes, on 60% of the honoured stays."""
+    rows, names = _amounts(spark, path)
+    table, _ = inference.ols_summary(spark, rows.filter("is_test = 0"), names, "label")
+    kept = [no_negative_zero(F.bround(c, 4)).alias(c) for c in ("coefficient", "se", "t", "p_value")]
+    return table.select("variable", *kept, "sig", "aliased")
+
+
+@plan("rg_linear_fit")
+def rg_linear_fit(spark, path):
+    """R squared, F and sigma of that fit, and its RMSE and squared correlation on the other 40%."""
+    rows, names = _amounts(spark, path)
+    stored = training_rows(rows)
+    table, fit = inference.ols_summary(spark, stored.filter("is_test = 0"), names, "label")
+    tested = inference.linear_score(stored.filter("is_test = 1"), table.filter("NOT aliased"))
+    metrics = evaluation.regression_metrics(tested).select(F.col("rmse").alias("valid_rmse"), F.col("r2_corr").alias("valid_r2"))
+    return fit.join(F.broadcast(metrics))
 
 
 @plan("rg_stepwise")

@@ -262,3 +262,34 @@ def test_forecast_fit_is_the_ridge_over_days(spark):
     assert len(got) == 505
     assert np.allclose(got["yhat"].to_numpy()[:500], x @ beta * np.abs(y).max(), atol=1e-6)
     assert np.allclose(got["yhat"], got["trend"] + got["yearly"] + got["weekly"])
+
+
+def test_ols_summary_matches_closed_form_and_reports_aliases(spark, sample, frame):
+    design = frame.withColumn("one", F.lit(3.0)).withColumn("sum_ab", F.col("a") + F.col("b"))
+    names = ["one", "a", "b", "sum_ab", "c"]
+    table, fit = inference.ols_summary(spark, design, names, "amount")
+    got = {r.variable: r for r in table.collect()}
+    assert {n for n, r in got.items() if r.aliased} == {"one", "sum_ab"} and got["one"].coefficient is None
+    x = np.column_stack([np.ones(len(sample)), sample[["a", "b", "c"]]])
+    y = sample["amount"].to_numpy()
+    beta = np.linalg.solve(x.T @ x, x.T @ y)
+    free = len(y) - 4
+    rss = ((y - x @ beta) ** 2).sum()
+    se = np.sqrt(rss / free * np.diag(np.linalg.inv(x.T @ x)))
+    order = ["const", "a", "b", "c"]
+    assert np.allclose([got[n].coefficient for n in order], beta) and np.allclose([got[n].se for n in order], se)
+    assert np.allclose([got[n].t for n in order], beta / se) and got["a"].p_value < 1e-12 < got["c"].p_value
+    row, total = fit.first(), ((y - y.mean()) ** 2).sum()
+    assert (row.n, row.df_model, row.df_residual) == (600, 3, free)
+    assert row.r2 == pytest.approx(1 - rss / total) and row.sigma == pytest.approx((rss / free) ** 0.5)
+    assert row.f == pytest.approx((total - rss) / 3 / (rss / free)) and row.p_value == pytest.approx(0, abs=1e-12)
+
+
+def test_tails_of_t_and_f():
+    # Closed forms: Cauchy, two degrees of freedom, and F with two.
+    for t in (0.1, 1.0, 3.5, 40.0):
+        assert inference.t_tail(t, 1) == pytest.approx(1 - 2 / np.pi * np.arctan(t), abs=1e-12)
+        assert inference.t_tail(t, 2) == pytest.approx(1 - t / np.sqrt(2 + t * t), abs=1e-12)
+        assert inference.f_tail(t, 2, 9) == pytest.approx((1 + 2 * t / 9) ** -4.5, abs=1e-12)
+        assert inference.f_tail(t * t, 1, 30) == pytest.approx(inference.t_tail(t, 30), abs=1e-12)
+    assert inference.t_tail(1.959963984540054, 1e7) == pytest.approx(0.05, abs=1e-6)
