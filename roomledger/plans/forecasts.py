@@ -73,6 +73,40 @@ def fc_cv_summary(spark, path):
     return fc.cv_summary(fc.cv_metrics(fc.naive_cv(series(spark, path))))
 
 
+_ROLLING = """, dy AS (SELECT horizon, COUNT(*) AS n, SUM((y - yhat) * (y - yhat)) AS s2, SUM(ABS(y - yhat)) AS s1, SUM(ABS(y - yhat) / NULLIF(ABS(y), 0)) AS sp FROM cv GROUP BY horizon),
+ ru AS (SELECT *, SUM(n) OVER o AS upto, SUM(n) OVER () AS everything, SUM(s2) OVER o AS u2, SUM(s1) OVER o AS u1, SUM(sp) OVER o AS up FROM dy WINDOW o AS (ORDER BY horizon)),
+ en AS (SELECT horizon, GREATEST(CAST(FLOOR(0.1 * everything) AS BIGINT), 1) AS w, upto, u2, u1, up FROM ru),
+ rl AS (SELECT e.horizon,
+   SQRT((e.u2 - (r.u2 - r.s2 * (r.upto - (e.upto - e.w)) / r.n)) / e.w) AS rmse,
+   (e.u1 - (r.u1 - r.s1 * (r.upto - (e.upto - e.w)) / r.n)) / e.w AS mae,
+   (e.up - (r.up - r.sp * (r.upto - (e.upto - e.w)) / r.n)) / e.w AS mape
+  FROM en e JOIN ru r ON r.upto - r.n <= e.upto - e.w AND e.upto - e.w < r.upto WHERE e.upto >= e.w)"""
+
+
+@plan(
+    "fc_cv_metrics_rolling",
+    _SERIES + _ROLLING + " SELECT horizon, ROUND(rmse, 4) AS rmse, ROUND(mae, 4) AS mae, ROUND(mape, 6) AS mape FROM rl",
+)
+def fc_cv_metrics_rolling(spark, path):
+    metrics = fc.rolling_cv_metrics(fc.naive_cv(series(spark, path)))
+    return metrics.select(
+        "horizon", F.round("rmse", 4).alias("rmse"), F.round("mae", 4).alias("mae"), F.round("mape", 6).alias("mape")
+    )
+
+
+@plan(
+    "fc_cv_summary_rolling",
+    _SERIES + _ROLLING + " SELECT ROUND(AVG(rmse), 2) AS rmse, ROUND(AVG(mae), 2) AS mae, ROUND(AVG(mape), 4) AS mape FROM rl",
+)
+def fc_cv_summary_rolling(spark, path):
+    return fc.cv_summary(fc.rolling_cv_metrics(fc.naive_cv(series(spark, path))))
+
+
+@plan("fc_interval_coverage")
+def fc_interval_coverage(spark, path):
+    return fc.coverage(series(spark, path))
+
+
 @plan("fc_decomposable")
 def fc_decomposable(spark, path):
     return fc.forecast(series(spark, path), history=True)

@@ -241,10 +241,10 @@ def test_forecast_per_series(spark):
     assert got.groupby("source").size().to_dict() == {"x": 7, "y": 7}
 
 
-def test_forecast_fit_is_the_ridge_over_days(spark):
+def test_forecast_fit_minimises_its_objective_over_days(spark):
     rng = np.random.default_rng(3)
     t = np.arange(500)
-    y = 50 + 0.1 * t + 5 * np.sin(2 * np.pi * t / 7) + rng.normal(0, 1, len(t))
+    y = 50 + 0.1 * t + 0.3 * np.maximum(t - 240, 0) + 5 * np.sin(2 * np.pi * t / 7) + rng.normal(0, 1, len(t))
     first = dt.date(2022, 1, 1)
     rows = [(first + dt.timedelta(days=int(i)), float(v)) for i, v in zip(t, y)]
     series = spark.createDataFrame(rows, "ds date, y double")
@@ -254,14 +254,57 @@ def test_forecast_fit_is_the_ridge_over_days(spark):
     waves = [f(2 * np.pi * k * day / p) for p, n in ((365.25, 10), (7.0, 3)) for k in range(1, n + 1) for f in (np.sin, np.cos)]
     x = np.column_stack([np.ones_like(s), s, *[np.maximum(s - a, 0) for a in np.linspace(0, 0.8, 26)[1:]], *waves])
     target = y / np.abs(y).max()
+    # Brute force: accelerated proximal steps over the rows, with the noise of the fit before.
     noise = target.var()
     for _ in range(3):
-        penalty = np.diag(np.sqrt(noise * forecasting.PRECISION))
-        beta = np.linalg.lstsq(np.vstack([x, penalty]), np.append(target, np.zeros(len(penalty))), rcond=None)[0]
+        beta = z = np.zeros(x.shape[1])
+        width, momentum = np.linalg.norm(x, 2) ** 2 + noise * forecasting.PRECISION.max(), 1.0
+        for _ in range(60_000):
+            step = z - (x.T @ (x @ z - target) + noise * forecasting.PRECISION * z) / width
+            part = step[forecasting.CHANGES]
+            step[forecasting.CHANGES] = np.sign(part) * np.maximum(np.abs(part) - noise / forecasting.CHANGE_SCALE / width, 0)
+            after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+            z, beta, momentum = step + (momentum - 1) / after * (step - beta), step, after
         noise = (target - x @ beta).var()
     assert len(got) == 505
-    assert np.allclose(got["yhat"].to_numpy()[:500], x @ beta * np.abs(y).max(), atol=1e-6)
+    assert np.allclose(got["yhat"].to_numpy()[:500], x @ beta * np.abs(y).max(), atol=0.02)
     assert np.allclose(got["yhat"], got["trend"] + got["yearly"] + got["weekly"])
+    moments = np.column_stack([x, target])
+    found = forecasting.solve((moments.T @ moments).ravel())
+    changes = found[forecasting.CHANGES]
+    assert 0 < np.count_nonzero(changes) < 15
+    # No gradient is left: zero at the smooth columns, within the penalty at the changes.
+    wide = got["yhat_upper"].to_numpy() - got["yhat_lower"].to_numpy()
+    assert np.allclose(wide[:500], wide[0]) and (np.diff(wide[499:]) > 0).all()
+
+
+def test_sparse_part_meets_its_conditions():
+    rng = np.random.default_rng(5)
+    for penalty in (0.0, 0.5, 5.0, 500.0):
+        x = rng.normal(size=(40, 8))
+        x[:, 3] = x[:, 2]  # a column twice
+        x[:, 5] = 0
+        gram, target = x.T @ x, x.T @ rng.normal(size=40) * 3
+        b = forecasting.sparse_part(gram, target, penalty)
+        pull = target - gram @ b
+        assert (np.abs(pull) <= penalty + 1e-6).all()
+        assert np.allclose(pull[b != 0], penalty * np.sign(b[b != 0]), atol=1e-6)
+
+
+def test_rolling_metrics_follow_the_definition(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(h), float(v), 0.0) for h in range(1, 31) for v in rng.normal(10, 3, rng.integers(1, 6))]
+    scored = spark.createDataFrame(rows, "horizon int, y double, yhat double")
+    for share in (0.1, 0.37, 1.0, 0.001):
+        got = {r.horizon: r for r in forecasting.rolling_cv_metrics(scored, share).collect()}
+        w = max(1, int(share * len(rows)))
+        want = {}
+        for h in range(1, 31):
+            # Each error counts as its day's mean; take the last w errors up to the day.
+            means = [np.mean([v * v for k, v, _ in rows if k == d]) for d in range(1, h + 1) for k, _, _ in rows if k == d]
+            if len(means) >= w:
+                want[h] = np.sqrt(np.mean(means[-w:]))
+        assert set(got) == set(want) and all(got[h].rmse == pytest.approx(v) for h, v in want.items())
 
 
 def test_ols_summary_matches_closed_form_and_reports_aliases(spark, sample, frame):
