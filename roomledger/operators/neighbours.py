@@ -40,7 +40,9 @@ def nearest(
     placed = _to_arrays(model.transform(known), features).select(
         F.col(key).alias("n_key"), F.col(label).alias("n_label"), "vec", "cell"
     )
-    placed = placed.withColumn("_d", _distance_to_own(centres)("vec", "cell"))
+    own = F.element_at(F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centres]), F.col("cell") + 1)
+    squares = F.zip_with("vec", own, lambda a, b: (a - b) * (a - b))
+    placed = placed.withColumn("_d", F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v)))
     # One row per centroid: at most MAX_CELLS rows, safe to broadcast.
     sizes = placed.groupBy("cell").agg(F.max("_d").alias("radius"), F.count(F.lit(1)).alias("size"))
     blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.lit(1)).cast("int")
@@ -90,19 +92,26 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy())
 
 
-def _distance_to_own(centres: np.ndarray):
-    @F.pandas_udf("double")
-    def own(vec: pd.Series, cell: pd.Series) -> pd.Series:
-        return pd.Series(np.linalg.norm(_stack(vec) - centres[cell.to_numpy()], axis=1))
-
-    return own
-
-
 def _to_centres(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     square = (x**2).sum(1)[:, None] - 2 * x @ centres.T + (centres**2).sum(1)[None]
     return np.sqrt(np.maximum(square, 0))
 
 
+def _candidates(q: np.ndarray, x: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray]:
+    """(query, reference) pairs that hold the ``take`` nearest of each query for sure.
+
+    In the product form ``|q|^2 - 2 q.x + |x|^2`` each of the three sums of ``p`` terms is
+    off by at most ``p * eps`` of ``(|q| + |x|)^2``, and so is their sum by less than
+    ``(p + 4) * eps`` times twice that; a reference beyond the rough k-th place by more
+    than two such errors is beaten by k others.
+    """
+    qq, xx = (q**2).sum(1), (x**2).sum(1)
+    rough = qq[:, None] - 2 * q @ x.T + xx[None]
+    error = 4 * (q.shape[1] + 4) * np.finfo(float).eps * (np.sqrt(qq) + np.sqrt(xx.max())) ** 2
+    kth = np.partition(rough, take - 1, axis=1)[:, take - 1]
+    return np.nonzero(rough <= (kth + 2 * error)[:, None])
+
+
 def _home(queries: DataFrame, key: str, centres: np.ndarray, bounds: dict[int, float]) -> DataFrame:
     used = np.array(sorted(bounds))
 
@@ -164,21 +173,17 @@ def _visit(queries: DataFrame, reference: DataFrame, layout: DataFrame, key: str
         for start in range(0, len(ask), 512):
             part = ask.iloc[start : start + 512]
             q = _stack(part["vec"])
-            distance = _to_centres(q, x)
-            rough = np.argsort(distance, axis=1, kind="stable")[:, : min(take + 16, len(x))]
-            # Exact distances of the shortlist; the product form above loses digits.
-            exact = np.linalg.norm(q[:, None, :] - x[rough], axis=2)
-            order = np.argsort(exact, axis=1, kind="stable")[:, :take]
-            best = np.take_along_axis(rough, order, 1)
+            # The product form loses digits; every reference that could be among the nearest
+            # within that loss is compared again, so ties cost time but drop nobody.
+            row, at = _candidates(q, x, take)
+            exact = np.linalg.norm(q[row] - x[at], axis=1)
+            order = np.lexsort((at, exact, row))
+            row, at, exact = row[order], at[order], exact[order]
+            first = np.searchsorted(row, np.arange(len(q)))
+            best = np.arange(len(row)) - first[row] < take
+            row, at, exact = row[best], at[best], exact[best]
             parts.append(
-                pd.DataFrame(
-                    {
-                        key: np.repeat(part[key].to_numpy(), take),
-                        "neighbour": ids[best].ravel(),
-                        "label": y[best].ravel(),
-                        "distance": np.take_along_axis(exact, order, 1).ravel(),
-                    }
-                )
+                pd.DataFrame({key: part[key].to_numpy()[row], "neighbour": ids[at], "label": y[at], "distance": exact})
             )
         return pd.concat(parts)
 

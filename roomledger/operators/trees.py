@@ -113,7 +113,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> _U(31))
 
 
-def _uniform(uid: np.ndarray, salt: int) -> np.ndarray:
+def uniform(uid: np.ndarray, salt: int) -> np.ndarray:
     """A number in [0, 1) per id and salt, whatever the partitioning."""
     with np.errstate(over="ignore"):
         key = _mix(np.asarray(salt, dtype=_U) * _U(0x9E3779B97F4A7C15) + _U(1))
@@ -125,7 +125,7 @@ _DRAWS = np.cumsum(np.exp(-1) / np.cumprod([1.0, *range(1, 12)]))
 
 
 def draws(uid: np.ndarray, tree: int, seed: int) -> np.ndarray:
-    return np.searchsorted(_DRAWS, _uniform(uid, seed * 1_000_003 + tree), side="right")
+    return np.searchsorted(_DRAWS, uniform(uid, seed * 1_000_003 + tree), side="right")
 
 
 def feature_order(tree: int, paths: np.ndarray, features: int, seed: int) -> np.ndarray:
@@ -719,14 +719,14 @@ class _Loss(NamedTuple):
 def _allowed(boost: Boost, round_: int, features: int) -> np.ndarray:
     keep = max(1, round(boost.column_share * features))
     out = np.zeros(features, dtype=bool)
-    out[np.argsort(_uniform(np.arange(features), boost.seed * 31 + 2 * round_ + 1), kind="stable")[:keep]] = True
+    out[np.argsort(uniform(np.arange(features), boost.seed * 31 + 2 * round_ + 1), kind="stable")[:keep]] = True
     return out
 
 
 def _taken(uid: np.ndarray, boost: Boost, round_: int) -> np.ndarray:
     if boost.row_share >= 1:
         return np.ones(len(uid), dtype=bool)
-    return _uniform(uid, boost.seed * 31 + 2 * round_) < boost.row_share
+    return uniform(uid, boost.seed * 31 + 2 * round_) < boost.row_share
 
 
 def boost_rows(codes: np.ndarray, y: np.ndarray, uid: np.ndarray, base: float, boost: Boost, loss: _Loss) -> list[Tree]:

@@ -378,6 +378,14 @@ def agg_segment_profile(spark, path):
     return segmentation.profile(seg_kmeans(spark, path), segmentation.GUEST_FEATURES)
 
 
+@plan("seg_kmeans_bookings")
+def seg_kmeans_bookings(spark, path):
+    """Four segments of stays, best of 25 starts, and their profile."""
+    vectors = _booking_vectors(spark, path)
+    found = segmentation.best_kmeans(vectors, segmentation.SEGMENTS, segmentation.BOOKING_RESTARTS)
+    return segmentation.booking_profile(found.transform(vectors)).withColumn("wss", F.lit(round(found.cost, 4)))
+
+
 @plan("seg_elbow")
 def seg_elbow(spark, path):
     return segmentation.elbow(spark, _booking_vectors(spark, path))

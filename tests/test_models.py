@@ -122,6 +122,42 @@ def test_neighbours_match_brute_force_with_copies_and_hot_cells(spark, monkeypat
         assert mine["neighbour"].tolist() == [f"T{j:04d}" for j in order]
 
 
+def test_neighbours_with_a_hundred_ties_at_the_last_place(spark):
+    rng = np.random.default_rng(9)
+    angle = rng.uniform(0, 2 * np.pi, 30)
+    far = rng.normal(size=(50, 4)) * 5 + 40
+    # 100 references at the same distance of the query, by signs and order of 1, 2, 3, 4.
+    ring = np.array([np.array(s) * np.array(o) for o in itertools.permutations((1.0, 2.0, 3.0, 4.0)) for s in itertools.product((1, -1), repeat=4)])
+    ring = ring[rng.permutation(len(ring))[:100]]
+    close = np.column_stack([0.1 * np.cos(angle), 0.1 * np.sin(angle), 0 * angle, 0 * angle])[:3]
+    x = np.vstack([far, ring, close])
+    train, test = _vector_frame(spark, x, np.arange(len(x)) % 2, "T"), _vector_frame(spark, np.zeros((1, 4)), [0], "Q")
+    got = neighbours.nearest(train, test, 15, "reservation_id", "label").orderBy("rank").collect()
+    distance = np.linalg.norm(x, axis=1)
+    want = np.lexsort((np.arange(len(x)), distance))[:15]
+    assert [r.neighbour for r in got] == [f"T{j:04d}" for j in want]
+
+
+def test_many_starts_share_passes_and_find_the_best(spark):
+    rng = np.random.default_rng(12)
+    middle = np.array([[0, 0], [8, 0], [0, 8], [9, 9]], dtype=float)
+    x = np.vstack([rng.normal(m, 0.4, size=(60, 2)) for m in middle])
+    vectors = _vector_frame(spark, x, np.zeros(len(x)), "B").repartition(3)
+    found = segmentation.many_kmeans(vectors, [1, 2, 4], restarts=5)
+    assert found[1].cost == pytest.approx(((x - x.mean(0)) ** 2).sum())
+    want = sum(((p - p.mean(0)) ** 2).sum() for p in x.reshape(4, 60, 2))
+    assert found[4].cost == pytest.approx(want) and found[1].cost > found[2].cost > found[4].cost
+    halves = min(
+        sum(((x[np.array(g) == s] - x[np.array(g) == s].mean(0)) ** 2).sum() for s in (0, 1))
+        for g in ([k in part for k in range(4) for _ in range(60)] for part in ((0,), (1,), (2,), (3,), (0, 1), (0, 2), (0, 3)))
+    )
+    assert found[2].cost <= halves + 1e-6
+    placed = found[4].transform(vectors).toPandas()
+    assert placed.groupby(placed["reservation_id"].str[1:].astype(int) // 60)["segment"].nunique().tolist() == [1] * 4
+    assert sorted(placed["segment"].unique()) == [0, 1, 2, 3]
+    assert segmentation.many_kmeans(vectors.limit(0), [2]) == {}
+
+
 def test_fewer_references_than_neighbours(spark):
     x = np.array([[0.0], [1.0], [2.0]])
     train, test = _vector_frame(spark, x, [1, 0, 1], "T"), _vector_frame(spark, x[:1], [0], "Q")
