@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any, NamedTuple
@@ -13,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import DenseVector
 from pyspark.ml.regression import LinearRegression
-from pyspark import StorageLevel
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,7 @@ REG_LEAFY = LEAFY._replace(rounds=500)
 REG_SUBSAMPLED = Boost(500, 0.05, Growth(depth=6, min_weight=1.0, l2=1.0), row_share=0.9, column_share=0.9)
 RIDGE_ALPHA, LASSO_ALPHA = 1.0, 0.1
 MAX_TREE_DEPTH = 30
+PARALLEL = 4  # models fitted at a time
 
 
 class SquaredHinge(NamedTuple):
@@ -206,6 +208,15 @@ def score_regressor(split: Split, name: str, rounds: int | None = None) -> tuple
     return model.transform(split.test).select(KEY, "label", "prediction"), model
 
 
+def _fit_all(split: Split, score: Callable, names: Sequence[str], rounds: int | None) -> list[tuple[str, tuple[DataFrame, Any]]]:
+    """Fits of independent models, ``PARALLEL`` at a time: their jobs share the executors."""
+    if any(isinstance(e, (Forest, Boost)) for n, (_, e) in {**classifiers(split), **regressors(split)}.items() if n in names):
+        split.binned()
+    with ThreadPoolExecutor(max_workers=PARALLEL) as pool:
+        fits = [pool.submit(inheritable_thread_target(split.stored.sparkSession)(score), split, n, rounds) for n in names]
+        return [(n, f.result()) for n, f in zip(names, fits, strict=True)]
+
+
 def classifier_metrics(scored: DataFrame) -> DataFrame:
     """AUC, accuracy, precision, recall and F1 per ``model``, best AUC first."""
     area = evaluation.auc(scored, by=["model"]).select("model", F.bround("auc", 4).alias("auc"))
@@ -222,8 +233,7 @@ def classifier_benchmark(
 ) -> tuple[DataFrame, dict[str, Any]]:
     """The metrics table over the named (default all) models, and the models."""
     parts, fitted = [], {}
-    for name in names or classifiers(split):
-        scored, model = score_classifier(split, name, rounds)
+    for name, (scored, model) in _fit_all(split, score_classifier, list(names or classifiers(split)), rounds):
         parts.append(scored.select(F.lit(name).alias("model"), "label", "score", "prediction"))
         if model is not None:
             fitted[name] = model
@@ -235,8 +245,8 @@ def regressor_benchmark(
     split: Split, names: Sequence[str] | None = None, rounds: int | None = None
 ) -> tuple[DataFrame, dict[str, Any]]:
     parts, fitted = [], {}
-    for name in names or regressors(split):
-        scored, fitted[name] = score_regressor(split, name, rounds)
+    for name, (scored, model) in _fit_all(split, score_regressor, list(names or regressors(split)), rounds):
+        fitted[name] = model
         parts.append(scored.select(F.lit(name).alias("model"), "label", "prediction"))
     return regressor_metrics(training_rows(reduce(DataFrame.unionByName, parts))), fitted
 

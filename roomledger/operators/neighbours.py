@@ -1,6 +1,7 @@
-"""Exact k nearest neighbours without comparing every pair.
+"""Exact k nearest neighbours.
 
-Reference rows are grouped around centroids. By the triangle inequality a cell
+References whose vectors hold at most ``BROADCAST_CELLS`` numbers travel to the queries.
+Beyond that bound pairs are not all compared, with the same result. Reference rows are grouped around centroids. By the triangle inequality a cell
 can hold a nearer neighbour only if ``d(query, centroid) - radius`` is below the
 k-th distance found so far, so a query visits its home cell first and then only the
 cells that bound leaves open. Equal vectors are merged first: of equal references only
@@ -26,6 +27,7 @@ from roomledger.session import training_rows
 
 BLOCK = 8192
 MAX_CELLS = 256
+BROADCAST_CELLS = 4_000_000  # entries of the reference vectors that travel to the queries
 
 
 def nearest(
@@ -33,7 +35,11 @@ def nearest(
 ) -> DataFrame:
     """(key, neighbour, label, distance, rank) of the k nearest train rows per test row."""
     known = training_rows(_first_k_of_equal(train.select(key, label, features), k, key, features))
-    cells = max(2, min(MAX_CELLS, int(math.sqrt(known.count() / 50))))
+    size = known.count()
+    entries = known.agg(F.sum(F.size(vector_to_array(features)))).first()[0] or 0
+    if entries <= BROADCAST_CELLS:
+        return _against_all(known, test, k, key, label, features)
+    cells = max(2, min(MAX_CELLS, int(math.sqrt(size / 50))))
     model = KMeans(k=cells, seed=seed, maxIter=10, featuresCol=features, predictionCol="cell").fit(known)
     centres = np.array([c.tolist() for c in model.clusterCenters()])
 
@@ -69,6 +75,36 @@ def nearest(
     return asked.join(shared, "vec").select(key, "_asked").join(answers, "_asked").drop("_asked")
 
 
+def _against_all(known: DataFrame, test: DataFrame, k: int, key: str, label: str, features: str) -> DataFrame:
+    """Every query against all references, which are few enough to travel with the job."""
+    rows = known.select(key, F.col(label).cast("double").alias("label"), vector_to_array(features).alias("vec")).orderBy(key).collect()
+    known.unpersist()
+    names = [r[0] for r in rows]
+    y = np.array([r[1] for r in rows], dtype=float)
+    x = np.array([r[2] for r in rows], dtype=float)
+    types = dict(test.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = np.empty(len(names), dtype=object)
+        ids[:] = names
+        for pdf in batches:
+            for start in range(0, len(pdf) if len(x) else 0, 512):
+                part = pdf.iloc[start : start + 512]
+                row, at, exact = _ranked(_stack(part["vec"]), x, min(k, len(x)))
+                yield pd.DataFrame(
+                    {
+                        key: part[key].to_numpy()[row],
+                        "neighbour": ids[at],
+                        "label": y[at],
+                        "distance": exact,
+                        "rank": (np.arange(len(row)) - np.searchsorted(row, row) + 1).astype(np.int32),
+                    }
+                )
+
+    schema = f"{key} {types[key]}, neighbour {types[key]}, label double, distance double, rank int"
+    return _to_arrays(test.select(key, features), features).mapInPandas(run, schema)
+
+
 def _first_k_of_equal(rows: DataFrame, k: int, key: str, features: str) -> DataFrame:
     """At most k rows per equal vector, lowest keys first; salted so that no group is large."""
     marked = rows.withColumn("_v", vector_to_array(features)).withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(64)))
@@ -112,6 +148,20 @@ def _candidates(q: np.ndarray, x: np.ndarray, take: int) -> tuple[np.ndarray, np
     return np.nonzero(rough <= (kth + 2 * error)[:, None])
 
 
+def _ranked(q: np.ndarray, x: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``take`` nearest of each query in order: (query, reference, distance), ties by reference.
+
+    The product form loses digits; every reference that could be among the nearest within
+    that loss is compared again, so ties cost time but drop nobody.
+    """
+    row, at = _candidates(q, x, take)
+    exact = np.linalg.norm(q[row] - x[at], axis=1)
+    order = np.lexsort((at, exact, row))
+    row, at, exact = row[order], at[order], exact[order]
+    best = np.arange(len(row)) - np.searchsorted(row, row) < take
+    return row[best], at[best], exact[best]
+
+
 def _home(queries: DataFrame, key: str, centres: np.ndarray, bounds: dict[int, float]) -> DataFrame:
     used = np.array(sorted(bounds))
 
@@ -173,15 +223,7 @@ def _visit(queries: DataFrame, reference: DataFrame, layout: DataFrame, key: str
         for start in range(0, len(ask), 512):
             part = ask.iloc[start : start + 512]
             q = _stack(part["vec"])
-            # The product form loses digits; every reference that could be among the nearest
-            # within that loss is compared again, so ties cost time but drop nobody.
-            row, at = _candidates(q, x, take)
-            exact = np.linalg.norm(q[row] - x[at], axis=1)
-            order = np.lexsort((at, exact, row))
-            row, at, exact = row[order], at[order], exact[order]
-            first = np.searchsorted(row, np.arange(len(q)))
-            best = np.arange(len(row)) - first[row] < take
-            row, at, exact = row[best], at[best], exact[best]
+            row, at, exact = _ranked(q, x, take)
             parts.append(
                 pd.DataFrame({key: part[key].to_numpy()[row], "neighbour": ids[at], "label": y[at], "distance": exact})
             )

@@ -102,8 +102,10 @@ def _vector_frame(spark, x, labels, prefix):
     return spark.createDataFrame(rows, ["reservation_id", "features", "label"])
 
 
-def test_neighbours_match_brute_force_with_copies_and_hot_cells(spark, monkeypatch):
+@pytest.mark.parametrize("entries", [0, 10**6])
+def test_neighbours_match_brute_force_with_copies_and_hot_cells(spark, monkeypatch, entries):
     monkeypatch.setattr(neighbours, "BLOCK", 40)  # forces several blocks per cell
+    monkeypatch.setattr(neighbours, "BROADCAST_CELLS", entries)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(500, 3))
     x[:170] = x[0]  # a third are copies of one row
@@ -122,7 +124,9 @@ def test_neighbours_match_brute_force_with_copies_and_hot_cells(spark, monkeypat
         assert mine["neighbour"].tolist() == [f"T{j:04d}" for j in order]
 
 
-def test_neighbours_with_a_hundred_ties_at_the_last_place(spark):
+@pytest.mark.parametrize("entries", [0, 10**6])
+def test_neighbours_with_a_hundred_ties_at_the_last_place(spark, monkeypatch, entries):
+    monkeypatch.setattr(neighbours, "BROADCAST_CELLS", entries)
     rng = np.random.default_rng(9)
     angle = rng.uniform(0, 2 * np.pi, 30)
     far = rng.normal(size=(50, 4)) * 5 + 40
