@@ -90,6 +90,7 @@ LOGIT_KEPT_LEVELS = {
     "meal_plan": ("No Meal",),
 }
 
+# Columns known before the stay, and parts of names that give the outcome away.
 SIGNALS = (
     "reservation_id",
     "lead_time_days",
@@ -216,11 +217,13 @@ def dummies(kept: dict[str, Sequence[str]]) -> list[Column]:
 
 
 def category_index(df: DataFrame, column: str) -> DataFrame:
-    """Codes 0, 1, ... in alphabetical order of the levels, as a small lookup join."""
-    kinds = df.select(column).filter(F.col(column).isNotNull()).distinct()
-    # The distinct levels of a category are few; the window runs over those only.
-    coded = kinds.withColumn(f"{column}_index", F.row_number().over(Window.orderBy(column)) - 1)
-    return df.join(coded, column, "left")
+    """Codes 0, 1, ... in alphabetical order of the levels; null has none.
+
+    The levels, at most ``MAX_LEVELS``, become part of the expression: no row moves.
+    """
+    names = levels(df, [column])[column]
+    place = F.array_position(F.array(*[F.lit(x) for x in names]).cast("array<string>"), F.col(column).cast("string"))
+    return df.withColumn(f"{column}_index", (place - 1).cast("int"))
 
 
 # --- matrices ----------------------------------------------------------------

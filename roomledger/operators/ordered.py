@@ -130,24 +130,26 @@ def equal_rank_bucket(rn: Column, n: Column, buckets: int) -> Column:
 
 
 def quantiles(
-    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()
+    df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (), weight: str | None = None
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per group, as columns ``q0``, ``q1``, ...
 
     Equal values are merged first; the order statistics are then read off running
-    counts, so no group is ever gathered in one task.
+    counts, so no group is ever gathered in one task. With ``weight``, a count per row,
+    the rows are merged already.
     """
     keys = list(by)
-    weighted = (
-        df.filter(F.col(value).isNotNull())
-        .groupBy(*keys, value)
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+    weighted = df.select(*keys, value, F.col(weight).alias("_n")) if weight else value_counts(df, value, keys)
     cum = running_totals(weighted, [F.col(value)], {"_cum": F.col("_n")}, keys)
     sizes = weighted.groupBy(*keys).agg(F.sum("_n").alias("_all"))
     return _pick_quantiles(cum, sizes, value, probs, keys)
 
 
+def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "_n") -> DataFrame:
+    """Rows per distinct value that is not null."""
+    return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias(name))
+
+
 def _pick_quantiles(cum, sizes, value, probs, keys):
     if keys:
         ranked = cum.join(sizes, keys)

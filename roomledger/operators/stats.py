@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from roomledger.functions import labels
 from roomledger.functions.exact import no_negative_zero
 from roomledger.operators import ordered
+from roomledger.session import checkpoint_dir
 
 
 def correlation(df: DataFrame, columns: Sequence[str], scale: int | None = 3) -> DataFrame:
@@ -38,15 +39,23 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     cells = F.array(
         *[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns]
     )
-    long = df.select(F.inline(cells)).filter("value IS NOT NULL")
-    quart = ordered.quantiles(long, "value", (0.25, 0.5, 0.75), ["column_name"])
-    moments = long.groupBy("column_name").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
+    # One scan: equal values are merged, and all figures come from the stored counts.
+    checkpoint_dir(df.sparkSession)
+    counts = ordered.value_counts(df.select(F.inline(cells)), "value", ["column_name"]).checkpoint()
+    quart = ordered.quantiles(counts, "value", (0.25, 0.5, 0.75), ["column_name"], weight="_n")
+    n = F.sum("_n")
+    moments = counts.groupBy("column_name").agg(
+        n.alias("count"),
+        (F.sum(F.col("value") * F.col("_n")) / n).alias("mean"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
+    # A row per column, whatever the rows of the table.
+    off = F.col("value") - F.col("mean")
+    spread = counts.join(F.broadcast(moments.select("column_name", "mean")), "column_name").groupBy("column_name").agg(
+        F.sqrt(F.try_divide(F.sum(off * off * F.col("_n")), n - 1)).alias("std")
+    )
+    moments = moments.join(spread, "column_name")
     return moments.join(quart, "column_name").select(
         "column_name",
         "count",
@@ -80,15 +89,17 @@ def histogram(df: DataFrame, value: str, bins: int) -> DataFrame:
 
 def box_stats(df: DataFrame, key: str, value: str) -> DataFrame:
     """Five-number summary per key and the rows beyond 1.5 IQR from the box."""
-    quart = ordered.quantiles(df, value, (0.25, 0.5, 0.75), [key])
-    ends = df.groupBy(key).agg(F.min(value).alias("min"), F.max(value).alias("max"))
+    # One scan: figures and outliers come from the stored counts of distinct values.
+    checkpoint_dir(df.sparkSession)
+    counts = ordered.value_counts(df, value, [key]).checkpoint()
+    quart = ordered.quantiles(counts, value, (0.25, 0.5, 0.75), [key], weight="_n")
+    ends = counts.groupBy(key).agg(F.min(value).alias("min"), F.max(value).alias("max"))
     # Both sides have one row per key.
     box = quart.join(ends, key)
     reach = (F.col("q2") - F.col("q0")) * 1.5
-    rows = df.select(key, value).join(box.select(key, (F.col("q0") - reach).alias("_lo"), (F.col("q2") + reach).alias("_hi")), key)
-    outside = rows.groupBy(key).agg(
-        F.count_if((F.col(value) < F.col("_lo")) | (F.col(value) > F.col("_hi"))).alias("outliers")
-    )
+    rows = counts.join(box.select(key, (F.col("q0") - reach).alias("_lo"), (F.col("q2") + reach).alias("_hi")), key)
+    far = (F.col(value) < F.col("_lo")) | (F.col(value) > F.col("_hi"))
+    outside = rows.groupBy(key).agg(F.sum(F.when(far, F.col("_n")).otherwise(0)).alias("outliers"))
     return box.join(outside, key).select(
         key,
         "min",

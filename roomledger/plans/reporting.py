@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from roomledger.functions import dates, labels
 from roomledger.functions.exact import cents as cents_of
@@ -29,13 +30,16 @@ from roomledger.plans.registry import (
 )
 from roomledger.session import scratch_path
 from roomledger.sources import readers, writers
-from roomledger.sources.schema import COLUMNS
+from roomledger.sources.schema import BOOKINGS, COLUMNS
+from roomledger.sources.testdata import HISTORY
 from roomledger.sources.testdata import load_bookings as load
 
 SNAPSHOT = "2002-01-01"
-# The eight monthly files of the multi-file source.
-MONTH_FILES = ("May", "April", "June", "July", "August", "September", "October", "November")
-MONTH_NUMBERS = {"April": 4, "May": 5, "June": 6, "July": 7, "August": 8, "September": 9, "October": 10, "November": 11}
+# The monthly files of the multi-file source.
+MONTH_FILES = tuple(
+    "January February March April May June July August September October November December".split()
+)
+PLAIN_COLUMNS = tuple(c for c in COLUMNS if c not in HISTORY)
 
 
 # --- sources and sinks -------------------------------------------------------
@@ -62,28 +66,33 @@ def src_csv(spark, path):
 
 @plan("src_sql", " SELECT * FROM bookings")
 def src_sql(spark, path):
-    load(spark, path).createOrReplaceTempView("bookings")
-    return readers.read_table(spark, "bookings")
+    """The stored table ``bookings``, after its busiest month has been written once more."""
+    spark.catalog.dropTempView("bookings")
+    writers.save_table(load(spark, path), "bookings", scratch_path(spark, "bookings-table"))
+    stored = readers.read_table(spark, "bookings")
+    month = stored.groupBy(writers.MONTH).count().orderBy(F.desc("count"), writers.MONTH).first()[0]
+    # A table cannot be read while it is overwritten, so the month's rows come from the source.
+    again = load(spark, path).filter(F.date_format("check_in_date", "yyyy-MM") == month)
+    writers.replace_months(again, "bookings")
+    return readers.read_table(spark, "bookings").select(*COLUMNS)
 
 
 @plan(
     "src_multi_union",
-    """ SELECT reservation_id, booking_source, total_amount, is_cancelled,
- CASE EXTRACT(MONTH FROM check_in_date) WHEN 4 THEN 'April' WHEN 5 THEN 'May' WHEN 6 THEN 'June' WHEN 7 THEN 'July'
- WHEN 8 THEN 'August' WHEN 9 THEN 'September' WHEN 10 THEN 'October' ELSE 'November' END AS source_month
- FROM bookings WHERE EXTRACT(MONTH FROM check_in_date) BETWEEN 4 AND 11""",
+    """ SELECT reservation_id, booking_source, total_amount, is_cancelled, MONTHNAME(check_in_date) AS source_month FROM bookings""",
 )
 def src_multi_union(spark, path):
+    return monthly_files(spark, path)
+
+
+def monthly_files(spark, path, files=(*MONTH_FILES, "Absent")):
+    """Bookings written as a file per month, and those of the named files read back; absent ones are skipped."""
     cols = ("reservation_id", "booking_source", "total_amount", "is_cancelled")
     rows = load(spark, path, *cols, "check_in_date")
     root = scratch_path(spark, "monthly-csv")
-    name = labels.lookup(
-        F.month("check_in_date").cast("string"), {str(m): n for n, m in MONTH_NUMBERS.items()}
-    )
-    split = rows.select(*cols, name.alias("file")).filter("file IS NOT NULL")
-    split.write.partitionBy("file").csv(root, header=True)
-    files = [f"file={n}" for n in (*MONTH_FILES, "Absent")]
-    read = readers.read_many_csv(spark, root, files)
+    name = F.array(*[F.lit(m) for m in MONTH_FILES])[F.month("check_in_date") - 1]
+    rows.select(*cols, name.alias("file")).write.partitionBy("file").csv(root, header=True)
+    read = readers.read_many_csv(spark, root, [f"file={n}" for n in files])
     return read.select(*cols, F.substring_index("source_file", "=", -1).alias("source_month"))
 
 
@@ -108,7 +117,7 @@ def set_union_byname(spark, path):
  UNION ALL SELECT 'v_source_performance', COUNT(DISTINCT booking_source) FROM bookings""",
 )
 def view_register(spark, path):
-    names = views.register(spark, load(spark, path), SNAPSHOT)
+    names = views.register(spark, load(spark, path, *PLAIN_COLUMNS), SNAPSHOT)
     counts = [
         spark.table(n).agg(F.lit(n).alias("view_name"), F.count(F.lit(1)).alias("n_rows")) for n in names
     ]
@@ -147,7 +156,9 @@ def snk_json(spark, path):
 
 @plan("snk_sample", " SELECT * FROM bookings ORDER BY reservation_id LIMIT 50")
 def snk_sample(spark, path):
-    return writers.sample_rows(load(spark, path))
+    target = scratch_path(spark, "sample-csv")
+    writers.write_sample(load(spark, path), target)
+    return readers.read_csv(spark, target)
 
 
 # --- data quality ------------------------------------------------------------
@@ -181,7 +192,7 @@ def dq_required(spark, path):
  total_not_lodging_plus_tax, tax_not_12_percent, net_not_after_commission, payments_do_not_add_up, premium_off, booking_date_off, lead_time_out_of_range, segment_not_of_source))""",
 )
 def dq_invariants(spark, path):
-    return quality.violations(load(spark, path))
+    return quality.violations(load(spark, path, *PLAIN_COLUMNS))
 
 
 @plan(
@@ -631,7 +642,7 @@ def agg_corr_matrix(spark, path):
     return stats.correlation(load(spark, path, *_NUMERIC), _NUMERIC)
 
 
-_DESCRIBED = ("lead_time_days", "avg_price_per_room", "total_amount", "nights_booked")
+_DESCRIBED = tuple(f.name for f in BOOKINGS if isinstance(f.dataType, T.NumericType))
 
 
 @plan(

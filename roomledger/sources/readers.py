@@ -38,8 +38,17 @@ def read_jdbc(
     partitions: int = 64,
     properties: dict[str, str] | None = None,
 ) -> DataFrame:
-    """A database table; with bounds given, read in parallel slices of one column."""
+    """A database table, read in parallel slices of one column.
+
+    Bounds that are not given are asked of the database: one row with the column's least
+    and greatest value. Only a table without a value there is read in one piece.
+    """
     options = {"url": url, "dbtable": table, "fetchsize": "10000", **(properties or {})}
+    if lower is None or upper is None:
+        ends = f"(SELECT MIN({partition_column}) AS lo, MAX({partition_column}) AS hi FROM {table}) ends"
+        found = spark.read.format("jdbc").options(**{**options, "dbtable": ends}).load().first()
+        lower = lower if lower is not None else found[0] and str(found[0])
+        upper = upper if upper is not None else found[1] and str(found[1])
     if lower is not None and upper is not None:
         options |= {
             "partitionColumn": partition_column,
