@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from roomledger.functions import dates, labels
 from roomledger.functions.exact import cents, mean_int, mean_money, money, plain_mean, product, ratio, sum_money, wide_ratio
 from roomledger.operators import ordered
+from roomledger.session import checkpoint_dir
 
 GUEST = "primary_guest_name"
 
@@ -156,16 +158,28 @@ def recency_score(df: DataFrame, recency: str = "recency_days", buckets: int = 5
     return df.join(F.broadcast(checked)).withColumn("r", score).drop("_edges")
 
 
-def rank_score(df: DataFrame, value: str, name: str, buckets: int = 5) -> DataFrame:
-    """Quintiles of the first-come rank; ties are broken by guest name."""
-    ranked = ordered.global_row_number(df, [F.col(value), F.col(GUEST)], "_rank")
-    score = ordered.equal_rank_bucket(F.col("_rank"), F.col("n_rows"), buckets)
-    return ranked.withColumn(name, score).drop("_rank", "n_rows")
+def rank_scores(df: DataFrame, scores: dict[str, str], buckets: int = 5) -> DataFrame:
+    """Quintiles of the first-come rank of each value (value -> score); ties are broken by guest name.
+
+    A rank is beyond the edge of bucket ``b`` if it is above ``1 + b (n - 1) / buckets``; so
+    the rows at these ranks are all that is needed, and every row is compared with them.
+    """
+    def edges(n: int) -> list[int]:
+        return [1 + b * (n - 1) // buckets for b in range(1, buckets)]
+
+    _, found = ordered.order_statistics(df, GUEST, dict.fromkeys(scores, edges))
+    name = df.schema[GUEST].dataType
+    for value, score in scores.items():
+        own = F.struct(F.col(value).cast("double").alias("v"), F.col(GUEST).alias("t"))
+        above = [(own > F.struct(F.lit(v).alias("v"), F.lit(t).cast(name).alias("t"))).cast("int") for v, t in found[value]]
+        df = df.withColumn(score, reduce(lambda a, b: a + b, above, F.lit(1)))
+    return df
 
 
 def rfm_scores(df: DataFrame, snapshot: str) -> DataFrame:
-    base = rfm_table(df).withColumn("recency_days", dates.days_since(snapshot, "last_stay"))
-    scored = rank_score(rank_score(base, "frequency", "f"), "monetary", "m")
+    checkpoint_dir(df.sparkSession)
+    base = rfm_table(df).withColumn("recency_days", dates.days_since(snapshot, "last_stay")).checkpoint()
+    scored = rank_scores(base, {"frequency": "f", "monetary": "m"})
     return recency_score(scored).withColumn("rfm_score", F.col("r") + F.col("f") + F.col("m"))
 
 

@@ -10,7 +10,8 @@ must see the same cut even when an executor is lost in between.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -150,6 +151,84 @@ def value_counts(df: DataFrame, value: str, by: Sequence[str] = (), name: str =
     return df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias(name))
 
 
+def _doubles(values: Sequence[float]) -> Column:
+    """A constant array; as one text, since a call per number costs more than the query."""
+    return F.expr(f"array({', '.join(f'{float(v)!r}D' for v in values)})")
+
+
+SLIVER = 100_000  # rows around the wanted ranks that the driver may sort
+EDGES = 500
+
+
+def order_statistics(
+    df: DataFrame, tie: str, ranks: dict[str, Callable[[int], Sequence[int]]]
+) -> tuple[int, dict[str, list[tuple]]]:
+    """Row count, and per value column the (value, tie) at some ranks of the order by value, then ``tie``.
+
+    ``ranks`` maps a column to a function of the row count that gives ranks from 1. No row
+    is sorted but those near a wanted rank: quantile estimates cut the values into ranges,
+    with a range of its own for each estimate, so that a frequent value stands alone; one
+    aggregate counts the ranges, which tells in which one a rank lies and at which place.
+    Only the rows of these ranges are ordered: by the driver while they are few, else by
+    the distributed row number. ``df`` is read three times and should be stored; its
+    values are not null.
+    """
+    columns = list(ranks)
+    shares = _doubles([k / EDGES for k in range(1, EDGES)])
+    n, *sketched = df.agg(F.count(F.lit(1)), *[F.percentile_approx(c, shares, F.lit(10 * EDGES)) for c in columns]).first()
+    if not n:
+        return 0, {c: [] for c in columns}
+    edges = {c: sorted(set(found)) for c, found in zip(columns, sketched, strict=True)}
+
+    def slot(c: str) -> Column:
+        """Range of a value: even for one strictly between estimates, odd for an estimate itself."""
+        value, table = F.col(c).cast("double"), _doubles(edges[c])
+        steps = F.array(*[F.lit(1 << k) for k in range(len(edges[c]).bit_length() - 1, -1, -1)])
+        # Binary search for the number of estimates up to the value; beyond the table is null.
+        at = F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(table, at + step - 1) <= value, at + step).otherwise(at))
+        return F.when(F.get(table, at - 1) == value, 2 * at - 1).otherwise(2 * at).cast("int")
+
+    placed = df.select(
+        F.inline(F.array(*[F.struct(F.lit(c).alias("c"), slot(c).alias("slot"), F.col(c).cast("double").alias("v"), F.col(tie).alias("t")) for c in columns]))
+    )
+    sizes = {(r["c"], r["slot"]): r["n"] for r in placed.groupBy("c", "slot").agg(F.count(F.lit(1)).alias("n")).collect()}
+    wanted: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    for c in columns:
+        before, targets = 0, sorted(enumerate(ranks[c](n)), key=lambda x: x[1])
+        for key in sorted(k for k in sizes if k[0] == c):
+            while targets and targets[0][1] <= before + sizes[key]:
+                place, rank = targets.pop(0)
+                wanted.setdefault(key, []).append((place, rank - before))
+            before += sizes[key]
+    near = placed.filter(
+        reduce(lambda a, b: a | b, [(F.col("c") == c) & (F.col("slot") == k) for c, k in wanted], F.lit(False))
+    )
+    out: dict[str, dict[int, tuple]] = {c: {} for c in columns}
+    if sum(sizes[k] for k in wanted) <= SLIVER:
+        held: dict[tuple[str, int], list] = {}
+        for r in near.collect():
+            held.setdefault((r["c"], r["slot"]), []).append((r["v"], r["t"] is not None, r["t"]))
+        for key, places in wanted.items():
+            rows = sorted(held[key])
+            for place, at in places:
+                out[key[0]][place] = (rows[at - 1][0], rows[at - 1][2])
+    else:
+        ranked = global_row_number(near, [F.col("c"), F.col("slot"), F.col("v"), F.col("t")])
+        before, at = 0, {}
+        for key in sorted(wanted):
+            at |= {before + k: (key[0], place) for place, k in wanted[key]}
+            before += sizes[key]
+        for r in ranked.filter(F.col("rn").isin(*at)).collect():
+            c, place = at[r["rn"]]
+            out[c][place] = (r["v"], r["t"])
+        # Two targets may share a rank.
+        for key, places in wanted.items():
+            for place, k in places:
+                if place not in out[key[0]]:
+                    out[key[0]][place] = next(out[key[0]][p] for p, j in places if j == k and p in out[key[0]])
+    return n, {c: [out[c][k] for k in range(len(out[c]))] for c in columns}
+
+
 def _pick_quantiles(cum, sizes, value, probs, keys):
     if keys:
         ranked = cum.join(sizes, keys)

@@ -97,3 +97,35 @@ def test_lowest_by_hash_is_exact_per_stratum(rows):
     assert (share["sum"] == (share["count"] * 0.25 + 0.5).astype(int)).all()
     again = ordered.lowest_by_hash(strata.repartition(7), F.col("id").cast("string"), 0.25, ["g"]).toPandas()
     assert set(marked[marked.is_test == 1]["id"]) == set(again[again.is_test == 1]["id"])
+
+
+@pytest.mark.parametrize("sliver", [100_000, 0])
+def test_order_statistics_with_ties(spark, monkeypatch, sliver):
+    monkeypatch.setattr(ordered, "SLIVER", sliver)
+    rng = np.random.default_rng(7)
+    n = 3000
+    pdf = pd.DataFrame({"name": [f"g{i:05d}" for i in rng.permutation(n)], "few": rng.geometric(0.6, n), "many": rng.gamma(2.0, 50.0, n).round(2) - 20})
+    df = spark.createDataFrame(pdf).repartition(4).checkpoint()
+    ranks = [1, 2, n // 5, n // 5, n // 2, n - 1, n]
+    count, got = ordered.order_statistics(df, "name", {"few": lambda _: ranks, "many": lambda k: [k, 1]})
+    assert count == n
+    for column, wanted in (("few", ranks), ("many", [n, 1])):
+        rows = sorted(zip(pdf[column].astype(float), pdf["name"]))
+        assert got[column] == [rows[k - 1] for k in wanted]
+
+
+def test_rank_scores_sort_nothing_globally(spark, bookings):
+    from roomledger.operators import guests
+
+    scored = guests.rfm_scores(bookings, "2002-01-01")
+    assert "rangepartitioning" not in scored._jdf.queryExecution().executedPlan().toString()
+    rows = scored.select("primary_guest_name", "frequency", "monetary", "f", "m").toPandas()
+    for value, score in (("frequency", "f"), ("monetary", "m")):
+        order = rows.sort_values([value, "primary_guest_name"]).reset_index(drop=True)
+        n = len(order)
+        assert order[score].tolist() == [max(1, -(-5 * k // (n - 1))) for k in range(n)]
+
+
+def test_order_statistics_of_an_empty_table(spark):
+    none = spark.createDataFrame([], "name string, v double")
+    assert ordered.order_statistics(none, "name", {"v": lambda n: [1]}) == (0, {"v": []})
