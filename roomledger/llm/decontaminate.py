@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from roomledger.llm import words as w
 
@@ -184,6 +185,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kinds = rows.schema["doc_id"].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
+    item_type = to_arrow_type(benchmark.schema[item].dataType)
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, edits int"
     out = spark.createDataFrame([], schema)
     for items in indexes(benchmark, item):
@@ -197,7 +199,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
                     yield pa.RecordBatch.from_arrays(
                         [
                             part.column(0).take(pa.array([r for r, _, _ in got], pa.int64())),
-                            pa.array([items.ids[i] for _, i, _ in got], pa.int64() if kinds[1] == "bigint" else None),
+                            pa.array([items.ids[i] for _, i, _ in got], item_type),
                             pa.array([n for _, _, n in got], pa.int32()),
                         ],
                         names=["doc_id", "item_id", "edits"],

@@ -114,19 +114,26 @@ def _within(keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
         return w.mix(keys + w.mix(rows.astype(np.uint64)))
 
 
+# A slice's signals take some forty times its bytes for a moment.
+SLICE_BYTES = 1 << 20
+
+
 def with_signals(docs: DataFrame, text: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
     """The columns ``keep`` (all by default) with the signals appended as LONG."""
     kept = [c for c in (docs.columns if keep is None else keep) if c not in SIGNALS]
-    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text"))
+    # A text that is kept anyway is not sent twice.
+    named = text if text in kept else "__text"
+    extra = [] if text in kept else [F.col(f"`{text}`").alias("__text")]
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], *extra)
     wanted = source.drop("__text").schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in w.slices(batch, "__text"):
-                signals = text_signals(part.column(part.num_columns - 1))
+            for part in w.slices(batch, named, SLICE_BYTES):
+                signals = text_signals(part.column(part.schema.get_field_index(named)))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:-1], *[pa.array(signals[s].astype(np.int64)) for s in SIGNALS]],
-                    names=[*part.schema.names[:-1], *SIGNALS],
+                    [*part.columns[: len(kept)], *[pa.array(signals[s].astype(np.int64)) for s in SIGNALS]],
+                    names=[*kept, *SIGNALS],
                 )
 
     schema = ", ".join(
@@ -216,8 +223,8 @@ def judge(docs: DataFrame, text: str = "text", keep: Sequence[str] | None = None
     seen = with_signals(docs, text, keep)
     spark = docs.sparkSession
     coded = seen.withColumn("__pattern", _pattern())
-    # At most 3 ** len(RULES) rows.
-    rows = coded.groupBy("__pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("__pattern").collect()
+    # At most 3 ** len(RULES) rows; the texts are read, but nothing of them is sent back.
+    rows = with_signals(docs, text, []).withColumn("__pattern", _pattern()).groupBy("__pattern").agg(F.count(F.lit(1)).alias("n")).orderBy("__pattern").collect()
     patterns = np.array([r[0] for r in rows], dtype=np.int64)
     post = fit_votes(patterns, np.array([r[1] for r in rows], dtype=float))
     table = spark.createDataFrame(
@@ -234,6 +241,8 @@ def judge(docs: DataFrame, text: str = "text", keep: Sequence[str] | None = None
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
     """The documents that ``judge`` keeps, with their own columns only."""
+    # Names by position: the documents' own may clash with those of the signals.
     columns = docs.columns
-    tagged = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__doc"), F.col(f"`{text}`").alias("__t"))
-    return judge(tagged, "__t", ["__doc"]).filter("kept").select("__doc.*")
+    tagged = docs.toDF(*[f"__c{i}" for i in range(len(columns))])
+    judged = judge(tagged, f"__c{columns.index(text)}", tagged.columns)
+    return judged.filter("kept").select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(columns)])

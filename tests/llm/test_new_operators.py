@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from roomledger.llm import catalog, runs, superkmers, whitening
+from roomledger.llm import catalog, decontaminate, runs, superkmers, supervision, whitening
 
 RNG = random.Random(11)
 
@@ -257,3 +257,25 @@ def test_whitening_defined_cases(spark):
     assert abs(abs(got["a", 1].whitened) - 1) < 1e-12 and got["a", 2].whitened is None and got["a", 1].identity_error < 1e-12
     huge = spark.createDataFrame([(1, [2.0**40, 0.0]), (2, [-(2.0**40), 1.0])], "vec_id int, embedding array<double>")
     assert {r.deviation for r in whitening.whiten(huge).collect()} == {None}
+
+
+@pytest.mark.parametrize("kind", ["int", "long", "string"])
+def test_benchmark_items_of_any_id_type(spark, kind):
+    words = RNG.choices([f"w{i}" for i in range(500)], k=40)
+    key = str if kind == "string" else int
+    items = spark.createDataFrame([(key(7), " ".join(words))], f"item_id {kind}, text string")
+    docs = spark.createDataFrame([(1, "x y " + " ".join(words) + " z"), (2, "nothing here")], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.find(docs, items).collect()] == [(1, key(7))]
+
+
+def test_good_documents_keep_their_own_columns(spark):
+    good = " ".join(RNG.choices(["morning", "river", "walked", "the", "and", "slowly", "garden", "stone", "window", "light"], k=90))
+    rows = [(1, good + f" {' '.join(RNG.choices(VOCABULARY, k=120))}", 3, "q"), (2, None, None, None), (3, "# # # " * 60, 1, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_words int, quality string")
+    got = supervision.keep_good(docs)
+    assert got.columns == docs.columns
+    judged = {r.doc_id: r.kept for r in supervision.judge(docs, keep=["doc_id"]).collect()}
+    assert sorted(map(tuple, got.collect())) == [r for r in rows if judged[r[0]]] and not judged[2] and not judged[3]
+
+
+VOCABULARY = [a + b for a in ("lan", "mor", "tes", "pil", "gar", "ven", "sol", "ram") for b in ("der", "tin", "low", "ka", "mes", "dor")]
