@@ -78,12 +78,18 @@ def test_named_model_queries_use_full_settings_and_all_models(spark, monkeypatch
 
     monkeypatch.setattr(models, "classifier_benchmark", benchmark)
     monkeypatch.setattr(models, "regressor_benchmark", benchmark)
-    monkeypatch.setattr(learning, "cancellation_split", lambda spark, path: None)
-    monkeypatch.setattr(learning, "revenue_split", lambda spark, path: None)
+    released = []
+
+    class Stored:
+        def release(self):
+            released.append(self)
+
+    monkeypatch.setattr(learning, "cancellation_split", lambda spark, path: Stored())
+    monkeypatch.setattr(learning, "revenue_split", lambda spark, path: Stored())
     names = ("ml_rf", "ml_gbt", "ml_gbt_leafy", "ml_gbt_sub", "rg_rf", "rg_gbt_leafy", "rg_gbt_sub", "ml_benchmark", "rg_benchmark")
     for name in names:
         PLANS[name](spark, "")
-    assert len(asked) == len(names) and all(rounds is None for _, rounds in asked)
+    assert len(asked) == len(names) == len(released) and all(rounds is None for _, rounds in asked)
     assert asked[-2:] == [((), None), ((), None)]
     monkeypatch.setattr(learning, "load", lambda spark, path: None)
     monkeypatch.setattr(bundle, "dashboard", lambda df, snapshot, classifiers=None, regressors=None: (classifiers, regressors))
