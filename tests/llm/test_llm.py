@@ -356,4 +356,4 @@ def test_attention_is_fitted_on_every_training_document(spark):
 
 
 def test_every_operator_is_registered():
-    assert {q.split("_")[0] for q in catalog.queries()} == {f"op{n}" for n in range(1, 11)}
+    assert {q.split("_")[0] for q in catalog.queries()} == {f"op{n}" for n in range(1, 14)}
