@@ -16,19 +16,21 @@ large the counts are.
 
 Banding. ``BANDS`` bands of ``ROWS`` slots; two texts of similarity 0.8 miss all bands
 with probability 3e-6. Every two texts of different classes that share a bucket are
-compared; three rounds, each with links verified on the exact multisets and classes
-joined, keep the work small. First every text meets one hub. Then small buckets give all
-pairs of different classes, and the members of large ones are dealt to blocks: each two
-blocks meet in one task, which compares their sketches and gives the best few partners
-of each text and all partners of the text that has most of them, so that a text with
-many copies joins them at once. Last, the large buckets that still hold several classes
-give every pair of different classes whose sketches agree. A bucket's largest class is
-met by the others only, so a large class with a few strangers costs no square. A large
-group without links, but with estimates over ``ESTIMATE``, does cost one.
+compared, in three rounds whose links are verified on the exact multisets and join
+classes. First every text meets one hub. Then every text meets the one partner of another
+class whose sketch agrees most with its own, over all its buckets. Both rounds verify at
+most one pair per text. Last, what still holds several classes is compared whole: small
+buckets give all pairs of different classes; the members of large ones are dealt to
+blocks, each two blocks meet in one task, and that task compares sketches, verifies on
+the shingles themselves and gives a spanning forest of the links it finds. So the links
+that leave a task are fewer than its members, and no pair of texts is written for a large
+bucket. A bucket's largest class is met by the others only, so a large class with a few
+strangers costs no square. A large group without links does cost one, in sketches
+compared inside tasks.
 
 Exact copies are one node (128-bit digest of the text), whatever their number. Candidate
 pairs first compare 8 bits of each slot; pairs estimated below ``ESTIMATE`` (almost five
-standard deviations under the limit) are dropped before texts are fetched. Links,
+standard deviations under the limit) are dropped before their shingles are compared. Links,
 classes and digests stay in Spark; small tables are broadcast only after a count.
 
 Defined cases: a text without words (null, empty, white space) is a class of its own;
@@ -53,11 +55,12 @@ SIMILARITY = 0.8
 ESTIMATE = 0.65
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
-SMALL_BUCKET = 32
+SMALL_BUCKET = 8
 BROADCAST_NODES = 500_000  # 16-byte digests
 BROADCAST_BYTES = 16 << 20
-BLOCK = 512  # members of a large bucket that one side of a task holds
-BEST = 2
+BLOCK = 2048  # members of a large bucket that one side of a task holds
+BLOCK_SHINGLES = 1 << 20  # their shingles; a longer text has a side to itself but for hash chance
+SLICE = 1 << 20  # bytes of text that are signed at once
 
 _U = np.uint64
 _STEP = _U(0x9E3779B97F4A7C15)
@@ -141,7 +144,7 @@ def _band_keys(points: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in w.slices(batch, "text"):
+        for part in w.slices(batch, "text", SLICE):
             hashes, rows = shingles(part.column(2))
             points = signatures(hashes, rows)
             keys = _band_keys(points)
@@ -180,9 +183,35 @@ def similarity(left: pa.Array, right: pa.Array) -> np.ndarray:
     return np.divide(low, high, out=np.zeros(n), where=high > 0)
 
 
+def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct names of all shingles of all rows, and the row offsets.
+
+    The k-th occurrence of a shingle in a text has a name of its own, so that the overlap
+    of two multisets is the overlap of two sets.
+    """
+    hashes, rows = shingles(texts)
+    row = w.row_of(rows)
+    hashes = hashes[np.lexsort((hashes, row))]
+    new = np.ones(len(hashes), dtype=bool)
+    new[1:] = (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])
+    place = np.arange(len(hashes))
+    again = place - np.maximum.accumulate(np.where(new, place, 0))
+    with np.errstate(over="ignore"):
+        names = np.where(new, hashes, w.mix(hashes + again.astype(_U) * _STEP))
+    return names[np.lexsort((names, row))], rows
+
+
+def _name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in w.slices(batch, "text", SLICE):
+            names, rows = grams(part.column(1))
+            packed = [names[x:y].tobytes() for x, y in zip(rows, rows[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(packed, pa.binary())], names=["node", "grams"])
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in w.slices(batch, "left"):
+        for part in w.slices(batch, "left", SLICE):
             linked = pa.array(similarity(part.column(2), part.column(3)) >= SIMILARITY - 1e-12)
             yield pa.RecordBatch.from_arrays(list(part.columns[:2]), names=["a", "b"]).filter(linked)
 
@@ -262,23 +291,26 @@ def _small_pairs(known: DataFrame) -> DataFrame:
     return pairs.select(F.col("node").alias("a"), F.col("o_node").alias("b")).distinct()
 
 
-def _large_pairs(known: DataFrame, signed: DataFrame, best: int | None) -> DataFrame:
-    """Pairs ``a < b`` of different classes in large buckets whose sketches agree in enough slots.
+def _dealt(known: DataFrame) -> DataFrame:
+    """Members of large buckets of several classes, ``key, node, size, label, block, last``.
 
-    With ``best``, so many partners per node and two blocks at most, but all partners of
-    the node that has most; this is linear in the rows of the two blocks.
+    A member meets the blocks ``0 .. last`` of its bucket.
     """
     many = known.filter(F.col("n") > SMALL_BUCKET).select("key", "node", "size", "label")
-    kinds = many.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"))
+    kinds = many.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("s"))
+
+    def blocks(members: Column, size: Column) -> Column:
+        return F.greatest(F.ceil(members / BLOCK), F.ceil(size / BLOCK_SHINGLES))
+
     buckets = (
         kinds.groupBy("key")
-        .agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("n"))
+        .agg(F.max(F.struct("k", "label", "s")).alias("top"), F.sum("k").alias("n"), F.sum("s").alias("s"))
         .filter("top.k < n")
         .select(
             "key",
             F.col("top.label").alias("main"),
-            F.ceil(F.col("top.k") / BLOCK).alias("main_blocks"),
-            F.ceil((F.col("n") - F.col("top.k")) / BLOCK).alias("blocks"),
+            blocks(F.col("top.k"), F.col("top.s")).alias("main_blocks"),
+            blocks(F.col("n") - F.col("top.k"), F.col("s") - F.col("top.s")).alias("blocks"),
         )
         .checkpoint()
     )
@@ -287,29 +319,62 @@ def _large_pairs(known: DataFrame, signed: DataFrame, best: int | None) -> DataF
     # Blocks of the largest class come after the others and do not meet each other.
     at = F.when(F.col("of_main"), F.col("blocks") + F.pmod(salt, "main_blocks")).otherwise(F.pmod(salt, "blocks"))
     last = F.col("blocks") - 1 + F.when(F.col("of_main"), 0).otherwise(F.col("main_blocks"))
-    dealt = dealt.select("key", "node", "size", "label", at.alias("block"), last.alias("last")).checkpoint()
+    return dealt.select("key", "node", "size", "label", at.alias("block"), last.alias("last")).checkpoint()
+
+
+def _meetings(dealt: DataFrame, signed: DataFrame) -> DataFrame:
+    """A row for each member and each block it meets, with its sketch."""
     found = signed.select("node", "sketch").join(_sized(dealt.select("node").distinct()), "node", "left_semi")
-    found = _light(found.checkpoint(), "sketch")
-    rows = (
-        dealt.join(found, "node")
+    return (
+        dealt.join(_light(found.checkpoint(), "sketch"), "node")
         .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
-        .select(
-            "key", F.least("block", "with").alias("lo"), F.greatest("block", "with").alias("hi"),
-            "block", "node", "size", "label", "sketch",
-        )
-    )
+        .withColumns({"lo": F.least("block", "with"), "hi": F.greatest("block", "with")})
+        .drop("with", "last")
+    )
+
+
+def _nearest(known: DataFrame, signed: DataFrame) -> DataFrame:
+    """``node, other, same``: partners of other classes in large buckets, the best one per two blocks."""
+
+    def meet(key: tuple, rows: pa.Table) -> pa.Table:
+        left, right, same = _agreement(key[1].as_py(), key[2].as_py(), rows)
+        out: list[tuple[bytes, bytes, int]] = []
+        nodes = rows["node"].to_pylist()
+        for mine, others, counts in ((left, right, same), (right, left, same.T)):
+            best = counts.argmax(axis=1) if counts.size else np.zeros(0, dtype=np.int64)
+            for i, j in enumerate(best):
+                if counts[i, j]:
+                    out.append((nodes[mine[i]], nodes[others[j]], int(counts[i, j])))
+        kinds = (pa.binary(), pa.binary(), pa.int32())
+        return pa.table([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["node", "other", "same"])
+
+    rows = _meetings(_dealt(known), signed)
+    return rows.groupBy("key", "lo", "hi").applyInArrow(meet, "node binary, other binary, same int")
+
+
+def _large_links(known: DataFrame, texts: DataFrame, signed: DataFrame) -> DataFrame:
+    """Links ``a < b`` that join the classes of large buckets as all their links would."""
+    dealt = _dealt(known)
+    wanted = _texts_of(dealt.select("node").distinct(), texts, signed)
+    named = wanted.mapInArrow(_name, "node binary, grams binary").checkpoint()
+    rows = _meetings(dealt, signed).join(_light(named, "grams"), "node")
 
     def meet(key: tuple, rows: pa.Table) -> pa.Table:
-        return _meet(key[1].as_py(), key[2].as_py(), rows, best)
+        left, right, same = _agreement(key[1].as_py(), key[2].as_py(), rows)
+        nodes = rows["node"].to_pylist()
+        ends = sorted(tuple(sorted((nodes[i], nodes[j]))) for i, j in _forest(left, right, same, rows))
+        return pa.table([pa.array([p[k] for p in ends], type=pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     return rows.groupBy("key", "lo", "hi").applyInArrow(meet, "a binary, b binary").distinct()
 
 
-def _meet(lo: int, hi: int, rows: pa.Table, best: int | None) -> pa.Table:
-    """The pairs between two blocks of a bucket, or within one."""
-    block, size = rows["block"].to_numpy(), rows["size"].to_numpy()
-    nodes = rows["node"].to_pylist()
-    label = np.unique(np.array(rows["label"].to_pylist(), dtype=object), return_inverse=True)[1]
+def _classes(rows: pa.Table) -> np.ndarray:
+    return np.unique(np.array(rows["label"].to_pylist(), dtype=object), return_inverse=True)[1]
+
+
+def _agreement(lo: int, hi: int, rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of either block, and the equal slots of each two; 0 where they cannot be a link between classes."""
+    block, size, label = rows["block"].to_numpy(), rows["size"].to_numpy(), _classes(rows)
     sketch = _sketch(rows["sketch"])
     left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
     same = np.zeros((len(left), len(right)), dtype=np.uint8)
@@ -317,25 +382,43 @@ def _meet(lo: int, hi: int, rows: pa.Table, best: int | None) -> pa.Table:
         some = left[i : i + 32]
         agree = (sketch[some, None, :] == sketch[None, right, :]).view(np.uint64).sum(axis=2)
         # Eight counters of a byte each, added up in the highest.
-        same[i : i + 32] = (agree * _U(0x0101010101010101)) >> _U(56)
-    x, y = size[left, None], size[None, right]
-    wanted = (label[left, None] != label[None, right]) & (np.minimum(x, y) >= SIMILARITY * np.maximum(x, y))
-    wanted &= same >= ESTIMATE * SLOTS
-    if best is not None and wanted.any():
-        same[~wanted] = 0
-        keep = np.zeros_like(wanted)
-        for flags, counts in ((keep, same), (keep.T, same.T)):
-            top = np.argsort(-counts.astype(np.int16), axis=1, kind="stable")[:, :best]
-            np.put_along_axis(flags, top, True, axis=1)
-            flags[np.argmax((counts >= SIMILARITY * SLOTS).sum(axis=1))] = True
-        wanted &= keep
-    ends = [(min(nodes[left[i]], nodes[right[j]]), max(nodes[left[i]], nodes[right[j]])) for i, j in np.argwhere(wanted)]
-    ends = sorted(set(ends))
-    return pa.table([pa.array([p[k] for p in ends], type=pa.binary()) for k in (0, 1)], names=["a", "b"])
+        count = ((agree * _U(0x0101010101010101)) >> _U(56)).astype(np.uint8)
+        x, y = size[some, None], size[None, right]
+        wanted = (label[some, None] != label[None, right]) & (np.minimum(x, y) >= SIMILARITY * np.maximum(x, y))
+        same[i : i + 32] = np.where(wanted & (count >= ESTIMATE * SLOTS), count, 0)
+    return left, right, same
+
+
+def _forest(left: np.ndarray, right: np.ndarray, same: np.ndarray, rows: pa.Table) -> list[tuple[int, int]]:
+    """Verified links between classes, without those between rows that earlier ones have joined."""
+    label, packed, links = _classes(rows), rows["grams"].combine_chunks(), []
+    for i, counts in zip(left.tolist(), same, strict=True):
+        # Within one block each two rows meet once.
+        near = right[(counts > 0) & (label[right] != label[i]) & ((right > i) | (len(left) == 0) | (left[0] != right[0]))]
+        if not len(near):
+            continue
+        mine = np.frombuffer(packed[i].as_py(), dtype=_U)
+        others = [np.frombuffer(packed[j].as_py(), dtype=_U) for j in near.tolist()]
+        sizes = np.array([len(x) for x in others])
+        flat = np.concatenate(others)
+        hit = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+        both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes) - sizes)
+        for j in near[both / (len(mine) + sizes - both) >= SIMILARITY - 1e-12].tolist():
+            if label[j] != label[i]:
+                links.append((i, j))
+                label[label == label[j]] = label[i]
+    return links
+
+
+def _best(partners: DataFrame) -> DataFrame:
+    """One pair ``a < b`` per node of ``node, other, same``: with the partner that agrees most."""
+    top = partners.groupBy("node").agg(F.max(F.struct("same", "other")).alias("top"))
+    other = F.col("top.other")
+    return top.select(F.least("node", other).alias("a"), F.greatest("node", other).alias("b")).distinct()
 
 
 def _alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs whose sketches agree in enough slots."""
+    """``a, b, same``: the pairs whose sketches agree in enough slots, and in how many."""
     ends = pairs.select("a").union(pairs.select("b")).distinct()
     found = signed.select("node", "sketch").join(_sized(ends), signed["node"] == F.col("a"), "left_semi").checkpoint()
     found = _light(found, "sketch")
@@ -343,11 +426,12 @@ def _alike(pairs: DataFrame, signed: DataFrame) -> DataFrame:
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same = _sketch(batch.column(2)) == _sketch(batch.column(3))
-            yield batch.select([0, 1]).filter(pa.array(same.mean(axis=1) >= ESTIMATE))
+            same = (_sketch(batch.column(2)) == _sketch(batch.column(3))).sum(axis=1)
+            counted = pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(same, pa.int32())], names=["a", "b", "same"])
+            yield counted.filter(pa.array(same >= ESTIMATE * SLOTS))
 
     return (
-        pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(agree, "a binary, b binary")
+        pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(agree, "a binary, b binary, same int")
     )
 
 
@@ -355,12 +439,10 @@ def _sketch(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, SLOTS)
 
 
-def links_of(pairs: DataFrame, texts: DataFrame, signed: DataFrame) -> DataFrame:
-    """The pairs that are similar, by their exact multisets; texts of other nodes are not moved."""
-    pairs = pairs.checkpoint()
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    reps = signed.select("node", "doc_id").join(_sized(ends), "node", "left_semi").checkpoint()
-    wanted = (
+def _texts_of(nodes: DataFrame, texts: DataFrame, signed: DataFrame) -> DataFrame:
+    """``node, text`` of some nodes; texts of other nodes are not moved."""
+    reps = signed.select("node", "doc_id").join(_sized(nodes), "node", "left_semi").checkpoint()
+    return (
         texts.alias("t")
         .join(
             _sized(reps).alias("r"),
@@ -369,9 +451,14 @@ def links_of(pairs: DataFrame, texts: DataFrame, signed: DataFrame) -> DataFrame
         )
         .select("node", "text")
         .dropDuplicates(["node"])
-        .checkpoint()
     )
-    wanted = _light(wanted, "text")
+
+
+def links_of(pairs: DataFrame, texts: DataFrame, signed: DataFrame) -> DataFrame:
+    """The pairs that are similar, by their exact multisets."""
+    pairs = pairs.checkpoint()
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = _light(_texts_of(ends, texts, signed).checkpoint(), "text")
     both = pairs.join(wanted.toDF("a", "left"), "a").join(wanted.toDF("b", "right"), "b")
     return both.select("a", "b", "left", "right").mapInArrow(_verify, "a binary, b binary")
 
@@ -394,20 +481,22 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     )
     entries = signed.select("node", "size", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").checkpoint()
-    live = entries.join(_sized(shared), "key").checkpoint()
+    live = entries.join(shared.hint("merge"), "key").checkpoint()
     found, labels = None, None
     for round_no in range(3):
         if not round_no:
-            pairs = _alike(_hub_pairs(live).checkpoint(), signed)
+            fresh = links_of(_alike(_hub_pairs(live).checkpoint(), signed).select("a", "b"), texts, signed)
         else:
             known = _mixed(live, labels)
             live = known.drop("label")
+            small = _alike(_small_pairs(known).checkpoint(), signed)
             if round_no == 1:
-                small = _alike(_small_pairs(known).checkpoint(), signed)
-                pairs = small.union(_large_pairs(known, signed, BEST)).distinct()
+                small = small.checkpoint()  # read from either end
+                sides = [small.select(F.col(x).alias("node"), F.col(y).alias("other"), "same") for x, y in ("ab", "ba")]
+                fresh = links_of(_best(sides[0].union(sides[1]).union(_nearest(known, signed))), texts, signed)
             else:
-                pairs = _large_pairs(known, signed, None)
-        fresh = links_of(pairs, texts, signed).checkpoint()
+                fresh = links_of(small.select("a", "b"), texts, signed).union(_large_links(known, texts, signed))
+        fresh = fresh.checkpoint()
         if fresh.limit(1).count():
             found = fresh if found is None else found.union(fresh).checkpoint()
             labels = components(found)
