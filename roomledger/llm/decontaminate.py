@@ -10,7 +10,9 @@ into step again, so edit distance becomes Hamming distance. Sampling a few steps
 walk gives a hash; equal hashes in any of ``REPEATS`` independent walks make a candidate.
 Windows have a size for the item's class, start at every item offset, and at every
 ``stride``-th word of a document, so every full-size passage is met by windows that are
-aligned with one of the item's; an item has several, so one edit cannot hide it.
+aligned with one of the item's; an item has several, so one edit cannot hide it. Sizes,
+strides and samples are set per class so that an item with the most edits allowed, at
+random places, is found with a chance of at least ``TARGET_RECALL``.
 Candidates are verified by the exact edit distance of the item to the surrounding words.
 
 One pass over the documents, no shuffle: each task holds the items' keys. Those are
@@ -37,6 +39,7 @@ from roomledger.llm import words as w
 
 MAX_EDITS = 0.2
 REPEATS = 4
+TARGET_RECALL = 0.95  # least recall at the edit limit for every item size; the test measures it
 MAX_WORDS = 500_000
 SEED = 90_001
 
@@ -51,7 +54,7 @@ class Class(NamedTuple):
     samples: int
 
 
-CLASSES = (Class(12, 8, 2, 16, 6), Class(4, 3, 1, 6, 3), Class(1, 1, 1, 2, 1))
+CLASSES = (Class(18, 8, 2, 16, 6), Class(12, 5, 1, 10, 4), Class(4, 3, 1, 6, 3), Class(1, 1, 1, 2, 1))
 
 _U = np.uint64
 

@@ -2,7 +2,7 @@
 
 Base kinds (assignments, access keys, long hex runs) are always reported. Looser
 candidates (tokens that mix upper and lower case with digits, key blocks, known key
-prefixes, quoted assigned values) are reported only if they look live: the hash of the
+prefixes, quoted or assigned values, also with / . = inside, that mix them alike) are reported only if they look live: the hash of the
 value is counted over the whole corpus by distinct repositories and owners, and a value
 that more than ``MAX_OWNERS`` owners or ``MAX_REPOSITORIES`` repositories hold is a widely
 copied example. Every span, base ones too, carries its counts and its class (``owner``
@@ -35,7 +35,7 @@ from roomledger.session import checkpoint_dir
 
 MAX_OWNERS = 1
 MAX_REPOSITORIES = 3
-KINDS = ("assign", "access", "hex", "prefix", "block", "mixed")
+KINDS = ("assign", "access", "hex", "prefix", "block", "mixed", "value")
 BASE = 3
 
 # The base patterns and their least lengths.
@@ -49,6 +49,8 @@ ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 _PREFIX = re.compile(r"(?:gh[pousr]_|glpat-|xox[abprs]-|sk_live_|rk_live_|AIza)[A-Za-z0-9_-]{16,}")
 _BLOCK = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END [A-Z ]{0,40}PRIVATE KEY-----")
 _MIXED = re.compile(r"[A-Za-z0-9+_-]{20,}")
+# The value alone, after a colon, an equals sign or an opening quote; it may hold / . =
+_VALUE = re.compile(r"""(?:[:=]\x20*["']?|["'])([A-Za-z0-9+/_.=-]{12,})""")
 
 
 class Span(NamedTuple):
@@ -73,11 +75,11 @@ def spans(text: str | None) -> list[Span]:
     found += [Span(1, *m.span(), m[0]) for m in _ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
     found += [Span(2, *m.span(), m[0]) for m in _HEX.finditer(text)]
     taken = sorted((s.start, s.end) for s in found)
-    for kind, pattern in ((3, _PREFIX), (4, _BLOCK), (5, _MIXED)):
+    for kind, pattern, group in ((3, _PREFIX, 0), (4, _BLOCK, 0), (6, _VALUE, 1), (5, _MIXED, 0)):
         more = [
-            Span(kind, *m.span(), m[0])
+            Span(kind, *m.span(group), m[group])
             for m in pattern.finditer(text)
-            if kind != 5 or _is_mixed(m[0])
+            if kind < 5 or _is_mixed(m[group])
         ]
         more = _apart(more, taken)
         found += more

@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from roomledger.llm import catalog, decontaminate, runs, superkmers, supervision, whitening
+from roomledger.llm import bagminhash, catalog, decontaminate, runs, secrets, superkmers, supervision, whitening
 
 RNG = random.Random(11)
 
@@ -279,3 +279,47 @@ def test_good_documents_keep_their_own_columns(spark):
 
 
 VOCABULARY = [a + b for a in ("lan", "mor", "tes", "pil", "gar", "ven", "sol", "ram") for b in ("der", "tin", "low", "ka", "mes", "dor")]
+
+
+@pytest.mark.parametrize("n", [5, 8, 12, 14, 17, 18, 25, 40])
+def test_decontamination_recall_at_the_edit_limit(n):
+    """Items with as many random word edits as are allowed, in longer texts."""
+    rng, found, trials = np.random.default_rng(n), 0, 300
+    say = lambda k: [f"w{x}" for x in rng.integers(0, 5000, k)]
+    items, texts = [], []
+    for _ in range(trials):
+        item = say(n)
+        copy = item.copy()
+        for _ in range(int(decontaminate.MAX_EDITS * n)):
+            at, kind = int(rng.integers(0, len(copy))), rng.integers(0, 3)
+            copy[at : at + (kind != 0)] = [] if kind == 2 else say(1)
+        items.append(" ".join(item))
+        texts.append(" ".join(say(int(rng.integers(0, 40))) + copy + say(40)))
+    got = {(r, i) for r, i, _ in decontaminate.matches(pa.array(texts), decontaminate.index(list(range(trials)), items))}
+    found = sum((i, i) in got for i in range(trials))
+    assert found >= decontaminate.TARGET_RECALL * trials
+
+
+def test_secret_values_with_other_signs():
+    key = "wJalrXUt9FEMI/K7MDENG.bPx5RfiCY"
+    for text, value in (
+        (f'aws_key_of_mine="{key}" end', key),
+        ("Pwd=aZ9/bQ8.cR7=dS6 end", "aZ9/bQ8.cR7=dS6"),
+        (f"say '{key}' once", key),
+    ):
+        at = text.index(value)
+        assert [(s.kind, s.start, s.end, s.value) for s in secrets.spans(text)] == [(6, at, at + len(value), value)]
+    assert secrets.spans('see: "https://example.org/some/long/page.html" = plainwordsonly') == []
+
+
+def test_shingle_names_give_the_weighted_jaccard():
+    rng = np.random.default_rng(2)
+    texts = [" ".join(rng.choice(["a", "b"], k)) for k in (1, 4, 5, 60, 200, 200)]
+    names, rows = bagminhash.grams(pa.array(texts))
+    for i, x in enumerate(texts):
+        mine = names[rows[i] : rows[i + 1]]
+        assert (np.diff(mine.astype(object)) > 0).all()
+        for j, y in enumerate(texts):
+            both = len(np.intersect1d(mine, names[rows[j] : rows[j + 1]]))
+            either = len(mine) + rows[j + 1] - rows[j] - both
+            assert both / either == pytest.approx(bagminhash.similarity(pa.array([x]), pa.array([y]))[0])
