@@ -54,7 +54,7 @@ class Class(NamedTuple):
     samples: int
 
 
-CLASSES = (Class(18, 8, 2, 16, 6), Class(12, 5, 1, 10, 4), Class(4, 3, 1, 6, 3), Class(1, 1, 1, 2, 1))
+CLASSES = (Class(18, 8, 2, 16, 6), Class(12, 6, 2, 12, 5), Class(4, 3, 1, 6, 3), Class(1, 1, 1, 2, 1))
 
 _U = np.uint64
 
