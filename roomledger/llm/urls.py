@@ -1,7 +1,8 @@
 """URL filter: rules first, then a character language-model ratio.
 
 URLs that a rule accepts or rejects train two smoothed variable-order Markov models
-over characters. A URL without a rule is judged by the difference of the two
+over the characters of the whole lower-cased URL, query string and fragment included.
+A URL without a rule is judged by the difference of the two
 log-likelihoods per character, against a threshold calibrated on rule-judged URLs that
 the models have not seen.
 
@@ -10,9 +11,10 @@ so the model is a table of ``CLASSES ** 3`` numbers (two characters of context),
 many URLs there are. Counting is an aggregation with map-side combining onto that many
 groups; scoring indexes the table, held as one array value, without any shuffle.
 
-Defined cases: a null url, or one without ``://``, has an empty host and path and a
-score of 0; only rule-judged URLs train, and without examples of both verdicts the
-score is 0 everywhere and the verdict allow. Repeated rows count as often as they occur.
+Defined cases: a null url, or one without ``://``, has an empty host and path; a null or
+empty url has a score of 0, one without ``://`` is scored like any other; only
+rule-judged URLs train, and without examples of both verdicts the score is 0 everywhere
+and the verdict allow. Repeated rows count as often as they occur.
 """
 
 from __future__ import annotations
@@ -44,8 +46,12 @@ BIN = 0.05
 MAX_BIN = 200
 
 
+def _text(url: str) -> Column:
+    return F.coalesce(F.col(f"`{url}`"), F.lit(""))
+
+
 def host_and_path(url: str) -> tuple[Column, Column]:
-    u = F.coalesce(F.col(f"`{url}`"), F.lit(""))
+    u = _text(url)
     at = F.instr(u, "://")
     rest = F.when(at > 0, F.substring(u, at + 3, F.length(u))).otherwise("")
     host = F.regexp_extract(rest, r"^([^/?#]*)", 1)
@@ -68,7 +74,7 @@ def longest_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]] =
 
 def _codes(text: Column) -> Column:
     """Class of every character, after two start marks."""
-    plain = F.translate(F.lower(text), string.digits, "0" * 10)
+    plain = F.translate(text, string.digits, "0" * 10)
     chars = F.filter(F.split(plain, ""), lambda c: F.length(c) > 0)
     coded = F.transform(chars, lambda c: F.instr(F.lit(ALPHABET), c))
     return F.concat(F.array(F.lit(START), F.lit(START)), coded)
@@ -169,19 +175,21 @@ def threshold(scored: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
-    """Adds ``host, path, rule, score, verdict`` to the columns of ``pages``."""
-    own = ["host", "path", "rule", "score", "verdict"]
+    """Adds ``host, path, rule, score, verdict`` to the columns of ``pages``.
+
+    Columns of these names, or of the four used on the way, are left out.
+    """
+    own = ["host", "path", "rule", "score", "verdict", "__url", "__says", "__codes", "__w"]
     columns = [F.col(f"`{c}`") for c in pages.columns if c not in own]
     host, path = host_and_path(url)
-    split = pages.select(*columns, host.alias("host"), path.alias("path"))
+    split = pages.select(*columns, host.alias("host"), path.alias("path"), _text(url).alias("__url"))
     name, says = longest_rule(F.col("host"), F.col("path"), rules)
-    ruled = split.withColumns(
-        {"rule": name, "__says": says, "__codes": _codes(F.concat("host", "path"))}
-    )
+    whole = F.lower(F.col("__url"))
+    ruled = split.withColumns({"rule": name, "__says": says, "__codes": _codes(whole)})
     known = ruled.filter("__says is not null").select(
         F.col("__codes").alias("codes"),
         (F.col("__says") == "allow").alias("accepted"),
-        (F.pmod(F.crc32(F.concat("host", "path").cast("binary")), F.lit(HELD_OUT)) == 0).alias("held"),
+        (F.pmod(F.crc32(whole.cast("binary")), F.lit(HELD_OUT)) == 0).alias("held"),
     )
     checkpoint_dir(pages.sparkSession)
     w = model(known.filter("not held")).checkpoint().scalar()
@@ -191,4 +199,4 @@ def judge(pages: DataFrame, url: str = "url", rules: Sequence[tuple[str, str]] =
     rated = ruled.withColumn("__w", w).withColumn("score", score(F.col("__codes"), F.col("__w")))
     return rated.withColumn(
         "verdict", F.coalesce("__says", F.when(F.col("score") >= cut, "allow").otherwise("block"))
-    ).drop("__says", "__codes", "__w")
+    ).drop("__says", "__codes", "__w", "__url")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -10,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from roomledger.llm import bagminhash, catalog, decontaminate, runs, secrets, superkmers, supervision, whitening
+from roomledger.llm import bagminhash, catalog, decontaminate, runs, secrets, superkmers, supervision, urls, whitening
 
 RNG = random.Random(11)
 
@@ -323,3 +324,80 @@ def test_shingle_names_give_the_weighted_jaccard():
             both = len(np.intersect1d(mine, names[rows[j] : rows[j + 1]]))
             either = len(mine) + rows[j + 1] - rows[j] - both
             assert both / either == pytest.approx(bagminhash.similarity(pa.array([x]), pa.array([y]))[0])
+
+
+def urls_by_brute_force(rows):
+    """Score and verdict by nested dictionaries, one url at a time."""
+
+    def rule(url):
+        rest = url.split("://", 1)[1] if "://" in url else ""
+        cut = min((rest.index(c) for c in "/?#" if c in rest), default=len(rest))
+        host, path = rest[:cut].lower(), rest[cut:].split("?")[0].split("#")[0]
+        fits = [
+            (len(r), says)
+            for r, says in urls.RULES
+            for at in [r.index("/")]
+            if (host == r[:at] or host.endswith("." + r[:at])) and path.startswith(r[at:])
+        ]
+        return max(fits)[1] if fits else None
+
+    def codes(url):
+        flat = "".join("0" if c.isdigit() else c for c in url.lower())
+        return [urls.START] * 2 + [urls.ALPHABET.find(c) + 1 for c in flat]
+
+    rules = {u: rule(u) for u in rows}
+    held = {u: zlib.crc32(u.lower().encode()) % urls.HELD_OUT == 0 for u in rows}
+    seen = {s: [{}, {}, {}] for s in ("allow", "block")}
+    for u in rows:
+        if rules[u] and not held[u]:
+            c = codes(u)
+            for i in range(2, len(c)):
+                for k in range(3):
+                    # The context of k characters is counted at the place it has in a context of two.
+                    tree = seen[rules[u]][k].setdefault(tuple(c[i - k : i]), {})
+                    tree[c[i]] = tree.get(c[i], 0) + 1
+
+    def chance(side, context, c):
+        one = seen[side][0].get((), {})
+        p = (one.get(c, 0) + 0.5) / (sum(one.values()) + 0.5 * urls.CLASSES)
+        for k in (1, 2):
+            here = seen[side][k].get(tuple(context[2 - k :]), {})
+            n = sum(here.values())
+            if n >= urls.SUPPORT:
+                p = (here.get(c, 0) + urls.PRIOR * p) / (n + urls.PRIOR)
+        return math.log(p)
+
+    def score(u):
+        c = codes(u)
+        parts = [chance("allow", c[i - 2 : i], c[i]) - chance("block", c[i - 2 : i], c[i]) for i in range(2, len(c))]
+        return sum(parts) / max(len(parts), 1)
+
+    scores = {u: score(u) for u in rows}
+    tries = [(scores[u], rules[u]) for u in rows if rules[u] and held[u]]
+    yes, no = (max(sum(r == s for _, r in tries), 1) for s in ("allow", "block"))
+    gains = {}
+    for b in {math.floor(s / urls.BIN) for s, _ in tries}:
+        low = [r for s, r in tries if math.floor(s / urls.BIN) < b]
+        gains[b] = round(low.count("block") / no - low.count("allow") / yes, 9)
+    best = max(gains, key=lambda b: (gains[b], -b))
+    cut = best * urls.BIN if gains[best] > 0 else 0.0
+    return {u: (scores[u], rules[u] or ("allow" if scores[u] >= cut else "block")) for u in rows}
+
+
+def test_urls_equal_brute_force(spark):
+    pick = RNG.choice
+    made = []
+    for i in range(400):
+        host, query = pick([("shop.com", "?buy=cheap"), ("x.net/es", "?noticias"), ("z.org", "?buy=cheap"), ("z.org", "?noticias#fin")])
+        made.append(f"{pick(['http', 'HTTPS'])}://{host}/{pick(['a', 'bb', 'index.html', 'Q_%20'])}{i % 37}{query}{pick(['', '&p=2'])}")
+    made += ["z.org/no/scheme?buy=cheap", "", "://", "été://ß"] + made[:5]
+    rows = [(i, u, "own") for i, u in enumerate(made)]
+    want = urls_by_brute_force(made)
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, __url string")).collect()
+    assert len(got) == len(made)
+    for r in got:
+        score, verdict = want[r["url"]]
+        assert math.isclose(r["score"], score, abs_tol=2e-6)
+        assert r["verdict"] == verdict, r
+    alone = {r["url"].split("?")[1][:3]: r["score"] for r in got if r["url"].startswith("http://z.org/a") and "?" in r["url"]}
+    assert alone["buy"] > alone["not"]
