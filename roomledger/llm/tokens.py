@@ -4,11 +4,19 @@ The word-level tokenizer splits at white space before anything else, and none of
 steps looks across it, so the ids of a text are the ids of its words in order. A task
 keeps the ids of the words it has met (at most ``CACHE_WORDS``, then it starts anew) and
 assembles texts with array operations. Words are told apart by a 64-bit hash.
+
+A new word of printable ASCII needs little of the tokenizer's normaliser: NFC and white
+space leave it as it is, and the pattern's letter and digit classes are a-z and 0-9 once
+it is in lower case. Its pieces go straight to the tokenizer's model. All other words,
+those with ``<|`` (special tokens), and every word of a tokenizer with other steps, take
+the whole tokenizer.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +26,26 @@ from roomledger.llm import words as w
 CACHE_WORDS = 1_000_000
 WORD_BPE = "word_bpe_49k.json"
 
+# The steps before the model of the word-level tokenizer.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [
+        {"type": "NFC"},
+        {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "},
+        {"type": "Lowercase"},
+    ],
+}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")  # SPLIT on lower-case ASCII
+_PLAIN = re.compile(r"[!-~]+")
+
 
 def tokenizer_file(name: str = WORD_BPE) -> str:
     import public_tokenizers
@@ -34,6 +62,13 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
+        steps = (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer)
+        special = self.tokenizer.get_added_tokens_decoder().values()
+        self.split = (
+            [x and json.loads(x.__getstate__()) for x in steps] == [NORMALIZER, PRE_TOKENIZER]
+            and self.tokenizer.post_processor is None
+            and all(t.special and t.content.startswith("<|") for t in special)
+        )
         self._reset()
 
     def _reset(self) -> None:
@@ -43,8 +78,29 @@ class Encoder:
         self.store = np.zeros(4096, dtype=np.uint32)
         self.used = 0
 
+    def _ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids of every word."""
+        out: list[list[int] | None] = [None] * len(texts)
+        if self.split:
+            model, known = self.tokenizer.model, {}
+            for i, text in enumerate(texts):
+                if _PLAIN.fullmatch(text) and "<|" not in text:
+                    text = text.lower()
+                    pieces = [text] if text.isalpha() else _PIECES.findall(text)
+                    ids: list[int] = []
+                    for piece in pieces:
+                        if piece not in known:
+                            known[piece] = [t.id for t in model.tokenize(piece)]
+                        ids += known[piece]
+                    out[i] = ids
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        whole = self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)
+        for i, e in zip(rest, whole, strict=True):
+            out[i] = e.ids
+        return out
+
     def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        lists = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        lists = self._ids(texts)
         sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
         flat = np.fromiter((i for x in lists for i in x), dtype=np.uint32, count=int(sizes.sum()))
         first = len(self.slot)

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from roomledger.llm import bagminhash, catalog, decontaminate, runs, secrets, superkmers, supervision, urls, whitening
+from roomledger.llm import bagminhash, catalog, decontaminate, runs, secrets, superkmers, supervision, tokens, urls, whitening
 
 RNG = random.Random(11)
 
@@ -326,6 +326,27 @@ def test_shingle_names_give_the_weighted_jaccard():
             assert both / either == pytest.approx(bagminhash.similarity(pa.array([x]), pa.array([y]))[0])
 
 
+def test_words_by_pieces_equal_the_whole_tokenizer():
+    from tokenizers import Tokenizer
+
+    known = ["it's", "'S'T!'ll", "A1b22", "<|endoftext|>", "x<|startoftext|>y", "<|", "~}'`", "Été", "\x1cq\x1f", "e\u0301'", "<\u0338", "I\u0307",
+             "\u00a0x", "z" * 5000, "...9's", "\x7f"]
+    signs = "aZbe'stvm019!#<|>.,é\u0301"
+    made = known + ["".join(RNG.choices(signs, k=RNG.randint(1, 12))) for _ in range(4000)]
+    for plain in (False, True):
+        encoder = tokens.Encoder(tokens.tokenizer_file(), plain)
+        assert encoder.split
+        whole = Tokenizer.from_file(tokens.tokenizer_file())
+        whole.encode_special_tokens = plain
+        want = [e.ids for e in whole.encode_batch(made, add_special_tokens=False)]
+        assert encoder._ids(made) == want
+        encoder.split = False
+        assert encoder._ids(made) == want
+    import public_tokenizers
+
+    assert not tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json")).split
+
+
 def urls_by_brute_force(rows):
     """Score and verdict by nested dictionaries, one url at a time."""
 
