@@ -52,7 +52,7 @@ def write_flat(
     ordered = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, seq = tokens.Encoder(file, plain=True), TaskContext.get().partitionId(), 0
+        encoder, shard, seq = tokens.encoder(file, plain=True), TaskContext.get().partitionId(), 0
         held = np.zeros(0, dtype="<u4")
         names: list[tuple[int, object]] = []  # position of the separator in ``held``, document
 

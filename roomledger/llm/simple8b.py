@@ -55,6 +55,8 @@ _LOW = _U((1 << 60) - 1)
 
 def _widths(ids: np.ndarray) -> np.ndarray:
     """Bits of every id, 0 for 0."""
+    if ids.dtype.itemsize <= 4:
+        return np.frexp(ids.astype(np.float64))[1].astype(np.int16)  # exact below 2 ** 53
     out = np.zeros(len(ids), dtype=np.int16)
     rest = ids.astype(_U)
     for step in (32, 16, 8, 4, 2, 1):
@@ -151,7 +153,7 @@ def write_ids(
     ordered = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, shard, first, seq = tokens.Encoder(file), TaskContext.get().partitionId(), 0, 0
+        encoder, shard, first, seq = tokens.encoder(file), TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             for part in w.slices(batch, "text", ROW_BYTES):
                 ids, at = tokens.with_end(*encoder.encode(part.column(1)), end)

@@ -1,19 +1,22 @@
 """Token ids of a batch of texts with a public tokenizer, one encoding per distinct word.
 
 The word-level tokenizer splits at white space before anything else, and none of its
-steps looks across it, so the ids of a text are the ids of its words in order. A task
-keeps the ids of the words it has met (at most ``CACHE_WORDS``, then it starts anew) and
-assembles texts with array operations. Words are told apart by a 64-bit hash.
-
-A new word of printable ASCII needs little of the tokenizer's normaliser: NFC and white
-space leave it as it is, and the pattern's letter and digit classes are a-z and 0-9 once
-it is in lower case. Its pieces go straight to the tokenizer's model. All other words,
+steps looks across it, so the ids of a text are the ids of its words in order. A Python
+worker keeps the ids of the words it has met, also over tasks (at most ``CACHE_WORDS``,
+then it starts anew), and assembles texts with array operations. Words are told apart by a 64-bit hash.
+
+A new word of printable ASCII and Latin-1 letters needs little of the tokenizer's
+normaliser: NFC and white space leave it as it is, and the pattern's letter and digit
+classes are a-z with the small letters of Latin-1, and 0-9, once it is in lower case.
+Its pieces go straight to the tokenizer's model. All other words,
 those with ``<|`` (special tokens), and every word of a tokenizer with other steps, take
 the whole tokenizer.
 """
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
 import os
 import re
@@ -43,8 +46,10 @@ PRE_TOKENIZER = {
         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
     ],
 }
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")  # SPLIT on lower-case ASCII
-_PLAIN = re.compile(r"[!-~]+")
+# SPLIT on such words in lower case
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+_PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+_SMALL = "ßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ"
 
 
 def tokenizer_file(name: str = WORD_BPE) -> str:
@@ -53,12 +58,18 @@ def tokenizer_file(name: str = WORD_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str, plain: bool = False) -> Encoder:
+    """The encoder of this Python worker; what it has learnt changes no result."""
+    return Encoder(path, plain)
+
+
 class Encoder:
-    """Encodes Arrow text columns; one per task. ``plain`` reads special tokens' names as text."""
+    """Encodes Arrow text columns. ``plain`` reads special tokens' names as text."""
 
     def __init__(self, path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
@@ -69,6 +80,8 @@ class Encoder:
             and self.tokenizer.post_processor is None
             and all(t.special and t.content.startswith("<|") for t in special)
         )
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.signs = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in _SMALL})
         self._reset()
 
     def _reset(self) -> None:
@@ -86,11 +99,13 @@ class Encoder:
             for i, text in enumerate(texts):
                 if _PLAIN.fullmatch(text) and "<|" not in text:
                     text = text.lower()
-                    pieces = [text] if text.isalpha() else _PIECES.findall(text)
+                    if text.isalpha():
+                        out[i] = [t.id for t in model.tokenize(text if text.isascii() else text.translate(self.signs))]
+                        continue
                     ids: list[int] = []
-                    for piece in pieces:
+                    for piece in _PIECES.findall(text):
                         if piece not in known:
-                            known[piece] = [t.id for t in model.tokenize(piece)]
+                            known[piece] = [t.id for t in model.tokenize(piece if piece.isascii() else piece.translate(self.signs))]
                         ids += known[piece]
                     out[i] = ids
         rest = [i for i, ids in enumerate(out) if ids is None]
@@ -102,7 +117,7 @@ class Encoder:
     def _learn(self, hashes: list[int], texts: list[str]) -> None:
         lists = self._ids(texts)
         sizes = np.fromiter(map(len, lists), dtype=np.int64, count=len(lists))
-        flat = np.fromiter((i for x in lists for i in x), dtype=np.uint32, count=int(sizes.sum()))
+        flat = np.fromiter(itertools.chain.from_iterable(lists), dtype=np.uint32, count=int(sizes.sum()))
         first = len(self.slot)
         self.slot.update(zip(hashes, range(first, first + len(hashes)), strict=True))
         self.start = _room(self.start, first + len(hashes))
@@ -127,7 +142,7 @@ class Encoder:
             raw = data.tobytes()
             spans = zip(found.start[where[new]].tolist(), found.end[where[new]].tolist(), strict=True)
             self._learn([hashes[i] for i in new], [raw[a:b].decode("utf-8") for a, b in spans])
-        slots = np.fromiter((self.slot[h] for h in hashes), dtype=np.int64, count=len(hashes))[which]
+        slots = np.fromiter(map(self.slot.__getitem__, hashes), dtype=np.int64, count=len(hashes))[which]
         sizes = self.size[slots]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0

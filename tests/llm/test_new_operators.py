@@ -330,8 +330,8 @@ def test_words_by_pieces_equal_the_whole_tokenizer():
     from tokenizers import Tokenizer
 
     known = ["it's", "'S'T!'ll", "A1b22", "<|endoftext|>", "x<|startoftext|>y", "<|", "~}'`", "Été", "\x1cq\x1f", "e\u0301'", "<\u0338", "I\u0307",
-             "\u00a0x", "z" * 5000, "...9's", "\x7f"]
-    signs = "aZbe'stvm019!#<|>.,é\u0301"
+             "\u00a0x", "ÇA×÷ß", "NAÏVE'S", "µªº", "ŸŠ", "z" * 5000, "".join(map(chr, range(0xC0, 0x100))), "...9's", "\x7f"]
+    signs = "aZbe'stvm019!#<|>.,éÀÿøß÷\u0301"
     made = known + ["".join(RNG.choices(signs, k=RNG.randint(1, 12))) for _ in range(4000)]
     for plain in (False, True):
         encoder = tokens.Encoder(tokens.tokenizer_file(), plain)
