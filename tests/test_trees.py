@@ -213,3 +213,22 @@ def test_tree_without_rows_or_splits(spark):
     assert trees.grow_tree(one, 1, trees.Growth()).feature == [-1]
     assert [r.score for r in trees.forest_scores(one, 1, trees.Forest(trees=12))[0].collect()] == [1.0]
     assert trees.predict_trees(one, trees.boost(one, 1, trees.Boost(2), False).trees, 1.0).filter(F.col("raw") != 1.0).count() == 0
+
+
+def test_boosting_step_is_one_short_job(spark, stored):
+    """Depth 3 asks for the sums of three levels per round; the children below come from their parent's sums."""
+    sc = spark.sparkContext
+    jobs = {}
+    for rounds in (1, 4):
+        sc.setJobGroup(f"boost-{rounds}", "boost")
+        trees.boost(stored[1]["label"], P, trees.Boost(rounds, 0.1, trees.Growth(depth=3, by_count=True)), True, 0)
+        jobs[rounds] = len(sc.statusTracker().getJobIdsForGroup(f"boost-{rounds}"))
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[4] - jobs[1] == 3 * 3
+
+
+def test_split_of_whole_sums_beyond_32_bits():
+    n = np.array([[10, 10, 10]])
+    total = np.array([[-(2**50), 0, 2**50]])
+    split = trees.best_split(n, n << 40, total, trees.Growth(), 1.0)
+    assert (split.feature, split.cut) == (0, 0) and split.gain > 0
