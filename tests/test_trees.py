@@ -232,3 +232,17 @@ def test_split_of_whole_sums_beyond_32_bits():
     total = np.array([[-(2**50), 0, 2**50]])
     split = trees.best_split(n, n << 40, total, trees.Growth(), 1.0)
     assert (split.feature, split.cut) == (0, 0) and split.gain > 0
+
+
+def test_forest_gains_count_the_splits_above_the_bound(stored):
+    frame = stored[1]["label"]
+    forest = trees.Forest(trees=4, tries=2)
+    whole, parts = ({r.feature: r.gain for r in trees.forest_scores(frame, P, forest, bound)[1].collect()} for bound in (1 << 16, 60))
+    assert parts == {k: pytest.approx(v) for k, v in whole.items()}
+
+
+def test_order_by_node_then_code():
+    few = trees._node_order(np.array([1, 0, 1, 0, 0]), np.array([3, 200, 1, 7, 7], dtype=np.uint8), 2)
+    assert few.tolist() == [3, 4, 1, 2, 0]
+    many = trees._node_order(np.array([70_000, 5, 70_000]), np.array([2, 9, 1], dtype=np.uint8), 1 << 17)
+    assert many.tolist() == [1, 2, 0]
