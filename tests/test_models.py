@@ -376,3 +376,18 @@ def test_tails_of_t_and_f():
         assert inference.f_tail(t, 2, 9) == pytest.approx((1 + 2 * t / 9) ** -4.5, abs=1e-12)
         assert inference.f_tail(t * t, 1, 30) == pytest.approx(inference.t_tail(t, 30), abs=1e-12)
     assert inference.t_tail(1.959963984540054, 1e7) == pytest.approx(0.05, abs=1e-6)
+
+
+def test_variable_selection_joins_its_tables_once(spark, sf, monkeypatch):
+    from roomledger.plans import learning
+
+    plans = []
+    real = inference.cross_products
+
+    def seen(df, names):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return real(df, names)
+
+    monkeypatch.setattr(inference, "cross_products", seen)
+    learning.st_select_variables(spark, sf).collect()
+    assert len(plans) == 1 and "Join" not in plans[0]
