@@ -61,9 +61,22 @@ class Clusters(NamedTuple):
 
 def _nearest(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Place of the nearest centre per row and the squared distance to it."""
-    square = ((x[:, None, :] - centres[None]) ** 2).sum(axis=2)
-    at = square.argmin(axis=1)
-    return at, square[np.arange(len(x)), at]
+    columns = np.ascontiguousarray(x.T)
+    at, best = np.zeros(len(x), dtype=np.int64), None
+    # A centre at a time over whole columns: no array per row and centre.
+    for i, centre in enumerate(centres):
+        square = np.zeros(len(x))
+        for column, c in zip(columns, centre, strict=True):
+            gap = column - c
+            gap *= gap
+            square += gap
+        if best is None:
+            best = square
+        else:
+            nearer = square < best
+            at[nearer] = i
+            np.minimum(best, square, out=best)
+    return at, best
 
 
 def many_kmeans(
