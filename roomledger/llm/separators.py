@@ -7,6 +7,9 @@ cannot know (how many ids came before it, and where the last separator before it
 comes from a prefix scan over blocks: inside each shard first, then over one row per
 shard. Blocks are never moved, only the positions of their separators are.
 
+Texts travel to the range of their key in compressed packs, one or more for each task and
+range; there Spark's sort puts them in order.
+
 Files are Parquet rows ``shard, seq, ids (bytes), ends_of``; ``ends_of`` names the
 documents that end in a block, in order, and carries no position. The search reads
 ``ids`` alone and finds the boundaries; the names are matched to them afterwards, and a
@@ -20,6 +23,7 @@ repeated rows are counted once per row; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +37,79 @@ from roomledger.llm import words as w
 from roomledger.session import checkpoint_dir, scratch_path
 
 BLOCK = 1 << 16
+LEAST_ROWS = 16  # rows per shard, on average at least
+SAMPLED = 100  # keys per shard that its limits are taken from
+PACK = 4 << 20  # bytes of text, about, that travel as one
+HELD = 64 << 20  # bytes of text that a task collects before it sends them in packs
 END_ID = 49_407  # the end-of-text id of the default tokenizer; no plain text encodes to it
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts, collected per shard and compressed together."""
+    held, size = [], 0
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        shard = rows["shard"].to_numpy()
+        order = np.argsort(shard, kind="stable")
+        codec = pa.Codec("zstd", compression_level=3)
+        for some in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+            # A pack ends before the document that no longer fits.
+            texts = [x.as_py() or b"" for x in rows["text"].take(pa.array(some))]
+            full = np.cumsum([len(x) for x in texts]) // PACK
+            for mine in np.split(np.arange(len(some)), np.flatnonzero(np.diff(full)) + 1):
+                keys = rows["id"].take(pa.array(some[mine])).combine_chunks()
+                columns = [
+                    pa.array([shard[some[0]]], pa.int32()),
+                    pa.ListArray.from_arrays([0, len(mine)], keys),
+                    pa.array([rows["h"].to_numpy()[some[mine]]], pa.list_(pa.int64())),
+                    pa.array([[len(texts[i]) for i in mine]], pa.list_(pa.int64())),
+                    pa.array([codec.compress(b"".join(texts[i] for i in mine), asbytes=True)], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["shard", "id", "h", "n", "packed"])
+
+    for batch in batches:
+        for part in w.slices(batch, "text", 1 << 20):
+            columns = [part.column(c) for c in ("shard", "id", "h")] + [part.column("text").cast(pa.binary())]
+            held.append(pa.RecordBatch.from_arrays(columns, names=["shard", "id", "h", "text"]))
+            size += held[-1].nbytes
+            if size >= HELD:
+                yield from flush()
+                held, size = [], 0
+    if held:
+        yield from flush()
+
+
+def _unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        for shard, keys, h, sizes, packed in zip(*batch.columns, strict=True):
+            n = np.array(sizes.as_py())
+            data = codec.decompress(packed.as_py(), int(n.sum()), asbytes=True)
+            texts = [data[a:b].decode() for a, b in zip(np.cumsum(n) - n, np.cumsum(n), strict=True)]
+            columns = [pa.array([shard.as_py()] * len(n), pa.int32()), keys.values, h.values, pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["shard", "id", "h", "text"])
+
+
+def _ranged(rows: DataFrame) -> tuple[DataFrame, int]:
+    """``rows`` with ``shard``, the number of their range of ``id, h``, and the number of ranges."""
+    spark, count = rows.sparkSession, rows.count()
+    checkpoint_dir(spark)
+    n = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), count // LEAST_ROWS))
+    some = rows.select("id", "h").sample(min(1.0, SAMPLED * n / max(count, 1)), seed=7)
+    parts = some.repartitionByRange(n, "id", "h").groupBy(F.spark_partition_id()).agg(F.min(F.struct("id", "h")).alias("low"))
+    # The ranges in groups of about the root of their number, so that a row is compared with few.
+    lows = parts.agg(F.sort_array(F.collect_list("low")).alias("lows"))
+    step = math.isqrt(n) + 1
+    groups = F.transform(F.sequence(F.lit(0), F.lit((n - 1) // step)), lambda i: F.slice("lows", i * step + 1, step))
+    bounds = lows.select(F.filter(groups, lambda g: F.size(g) > 0).alias("groups")).checkpoint()
+    key = F.struct("id", "h")
+    group = F.greatest(F.size(F.filter("groups", lambda g: g[0] <= key)) - 1, F.lit(0))
+    inside = F.size(F.filter(F.coalesce(F.get("groups", F.col("group")), F.array()), lambda low: low <= key)) - 1
+    found = rows.crossJoin(F.broadcast(bounds)).withColumn("group", group)
+    return found.withColumn("shard", F.greatest(F.col("group") * step + inside, F.lit(0))).drop("group", "groups"), n
+
+
 def write_flat(
     docs: DataFrame,
     path: str,
@@ -45,11 +119,16 @@ def write_flat(
     end: int = END_ID,
     block: int = BLOCK,
 ) -> None:
-    """Writes the ids of all whole texts in ascending key order, nulls first."""
+    """Writes the ids of all whole texts in ascending key order, nulls first; a shard is a range of keys."""
     file = tokenizer or tokens.tokenizer_file()
     rows = docs.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text"), F.xxhash64(f"`{text}`").alias("h"))
-    id_type = rows.schema["id"].dataType
-    ordered = rows.repartitionByRange("id", "h").sortWithinPartitions("id", "h").select("id", "text")
+    id_type = rows.schema["id"].dataType.simpleString()
+    ranged, n_shards = _ranged(rows)
+    packs = ranged.select("shard", "id", "h", "text").mapInArrow(
+        _pack, f"shard int, id array<{id_type}>, h array<bigint>, n array<bigint>, packed binary"
+    )
+    whole = packs.repartitionById(n_shards, F.col("shard")).mapInArrow(_unpack, f"shard int, id {id_type}, h bigint, text string")
+    ordered = whole.sortWithinPartitions("id", "h").select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, shard, seq = tokens.encoder(file, plain=True), TaskContext.get().partitionId(), 0
@@ -83,8 +162,9 @@ def write_flat(
         if len(held):
             yield cut(len(held), kind)
 
-    schema = f"shard int, seq int, ids binary, ends_of array<{id_type.simpleString()}>"
-    ordered.mapInArrow(run, schema).write.option("compression", "zstd").parquet(path)
+    schema = f"shard int, seq int, ids binary, ends_of array<{id_type}>"
+    flat = ordered.mapInArrow(run, schema).write.option("compression", "zstd")
+    flat.option("parquet.compression.codec.zstd.level", "6").parquet(path)
 
 
 def separators(ids: np.ndarray, end: int = END_ID) -> np.ndarray:

@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from roomledger.llm import (
     attention,
@@ -219,6 +220,30 @@ def test_token_file_and_separators(spark, docs, none, texts):
     assert simple8b.digest(none).count() == separators.count_tokens(none).count() == 0
 
 
+def test_texts_travel_packed_to_ranges_of_keys(spark, tmp_path):
+    words = [f"w{i}" for i in range(300)]
+    rows = [(None if i % 50 == 0 else int(k), " ".join(RNG.choice(words, 200)) if i % 7 else None)
+            for i, k in enumerate(RNG.integers(-80, 80, 400))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = docs.select(F.col("doc_id").alias("id"), "text", F.xxhash64("text").alias("h"))
+    ranged, n = separators._ranged(keyed)
+    packs = ranged.select("shard", "id", "h", "text").mapInArrow(
+        separators._pack, "shard int, id array<bigint>, h array<bigint>, n array<bigint>, packed binary"
+    ).collect()
+    assert {p["shard"] for p in packs} <= set(range(n)) and len({p["shard"] for p in packs}) > 1
+    assert sorted((k is not None, k or 0) for p in packs for k in p["id"]) == sorted((k is not None, k or 0) for k, _ in rows)
+    assert sum(len(p["packed"]) for p in packs) < 0.6 * sum(len(t or "") for _, t in rows)
+    separators.write_flat(docs, str(tmp_path / "flat"), block=512)
+    blocks = spark.read.parquet(str(tmp_path / "flat")).orderBy("shard", "seq").collect()
+    names = [k for b in blocks for k in b["ends_of"]]
+    assert names == sorted((k for k, _ in rows), key=lambda k: (k is not None, k or 0))
+    ids = np.concatenate([np.frombuffer(b["ids"], dtype="<u4") for b in blocks])
+    found = np.split(ids, np.flatnonzero(ids == separators.END_ID) + 1)[:-1]
+    assert len(found) == len(rows)
+    want = {t: _plain_ids(t, separators.END_ID, True) for _, t in rows[:8]}
+    assert all(ids in [x.tolist() for x in found] for ids in want.values())
+
+
 def test_separator_scan_across_blocks(spark, tmp_path):
     ids = RNG.integers(0, 9, 5000).astype("<u4")
     ids[700:2100] = 1  # a document over many blocks
