@@ -20,8 +20,9 @@ compared, in three rounds whose links are verified on the exact multisets and jo
 classes. First every text meets one hub. Then every text meets the one partner of another
 class whose sketch agrees most with its own, over all its buckets. Both rounds verify at
 most one pair per text. Last, what still holds several classes is compared whole: small
-buckets give all pairs of different classes; the members of large ones are dealt to
-blocks, each two blocks meet in one task, and that task compares sketches, verifies on
+buckets give all pairs of different classes; a large one that a task can hold goes there
+whole, one row per member; the members of still larger ones are dealt to
+blocks, each two blocks meet in one task, and a task compares sketches, verifies on
 the shingles themselves and gives a spanning forest of the links it finds. So the links
 that leave a task are fewer than its members, and no pair of texts is written for a large
 bucket. A bucket's largest class is met by the others only, so a large class with a few
@@ -40,6 +41,7 @@ doc_id (null only if all are); an empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,7 +50,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roomledger.llm import words as w
-from roomledger.session import checkpoint_dir
+from roomledger.session import ROWS_PER_PARTITION, checkpoint_dir
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -230,9 +232,17 @@ def _light(table: DataFrame, column: str, most: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(table) if size <= most else table
 
 
+def _merged(table: DataFrame) -> DataFrame:
+    """A checkpointed table in partitions of at least ``ROWS_PER_PARTITION`` rows, unless it has fewer rows.
+
+    A loop over few links then needs no shuffle and few tasks; on many links nothing changes.
+    """
+    return table.coalesce(max(1, math.ceil(table.count() / ROWS_PER_PARTITION)))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``node, label``: the smallest node that a chain of links reaches."""
-    both = links.select("a", "b").union(links.select("b", "a")).distinct().checkpoint()
+    both = _merged(links.select("a", "b").union(links.select("b", "a")).distinct().checkpoint())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
         "node", F.least("node", "m").alias("label")
     ).checkpoint()
@@ -294,7 +304,8 @@ def _small_pairs(known: DataFrame) -> DataFrame:
 def _dealt(known: DataFrame) -> DataFrame:
     """Members of large buckets of several classes, ``key, node, size, label, block, last``.
 
-    A member meets the blocks ``0 .. last`` of its bucket.
+    A member meets the blocks ``0 .. last`` of its bucket. A bucket that one side of a task
+    can hold is one block; its members need one row each.
     """
     many = known.filter(F.col("n") > SMALL_BUCKET).select("key", "node", "size", "label")
     kinds = many.groupBy("key", "label").agg(F.count(F.lit(1)).alias("k"), F.sum("size").alias("s"))
@@ -311,6 +322,7 @@ def _dealt(known: DataFrame) -> DataFrame:
             F.col("top.label").alias("main"),
             blocks(F.col("top.k"), F.col("top.s")).alias("main_blocks"),
             blocks(F.col("n") - F.col("top.k"), F.col("s") - F.col("top.s")).alias("blocks"),
+            (blocks(F.col("n"), F.col("s")) == 1).alias("whole"),
         )
         .checkpoint()
     )
@@ -319,18 +331,24 @@ def _dealt(known: DataFrame) -> DataFrame:
     # Blocks of the largest class come after the others and do not meet each other.
     at = F.when(F.col("of_main"), F.col("blocks") + F.pmod(salt, "main_blocks")).otherwise(F.pmod(salt, "blocks"))
     last = F.col("blocks") - 1 + F.when(F.col("of_main"), 0).otherwise(F.col("main_blocks"))
+    at, last = (F.when(F.col("whole"), F.lit(0)).otherwise(x).cast("long") for x in (at, last))
     return dealt.select("key", "node", "size", "label", at.alias("block"), last.alias("last")).checkpoint()
 
 
 def _meetings(dealt: DataFrame, signed: DataFrame) -> DataFrame:
     """A row for each member and each block it meets, with its sketch."""
     found = signed.select("node", "sketch").join(_sized(dealt.select("node").distinct()), "node", "left_semi")
-    return (
-        dealt.join(_light(found.checkpoint(), "sketch"), "node")
+    rows = dealt.join(_light(found.checkpoint(), "sketch"), "node")
+    alone = rows.filter("last = 0").withColumns({"lo": F.least("block", "last"), "hi": F.greatest("block", "last")}).drop("last")
+    if not dealt.filter("last > 0").limit(1).count():
+        return alone
+    several = (
+        rows.filter("last > 0")
         .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
         .withColumns({"lo": F.least("block", "with"), "hi": F.greatest("block", "with")})
         .drop("with", "last")
     )
+    return alone.unionByName(several)
 
 
 def _nearest(known: DataFrame, signed: DataFrame) -> DataFrame:
@@ -377,6 +395,9 @@ def _agreement(lo: int, hi: int, rows: pa.Table) -> tuple[np.ndarray, np.ndarray
     block, size, label = rows["block"].to_numpy(), rows["size"].to_numpy(), _classes(rows)
     sketch = _sketch(rows["sketch"])
     left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+    if lo == hi:
+        # The largest class is met by the others only.
+        left = left[label[left] != np.bincount(label).argmax()]
     same = np.zeros((len(left), len(right)), dtype=np.uint8)
     for i in range(0, len(left), 32):
         some = left[i : i + 32]
@@ -392,9 +413,9 @@ def _agreement(lo: int, hi: int, rows: pa.Table) -> tuple[np.ndarray, np.ndarray
 def _forest(left: np.ndarray, right: np.ndarray, same: np.ndarray, rows: pa.Table) -> list[tuple[int, int]]:
     """Verified links between classes, without those between rows that earlier ones have joined."""
     label, packed, links = _classes(rows), rows["grams"].combine_chunks(), []
+    both_sides = np.isin(right, left)  # two such rows meet once
     for i, counts in zip(left.tolist(), same, strict=True):
-        # Within one block each two rows meet once.
-        near = right[(counts > 0) & (label[right] != label[i]) & ((right > i) | (len(left) == 0) | (left[0] != right[0]))]
+        near = right[(counts > 0) & (label[right] != label[i]) & ((right > i) | ~both_sides)]
         if not len(near):
             continue
         mine = np.frombuffer(packed[i].as_py(), dtype=_U)
@@ -496,9 +517,9 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
                 fresh = links_of(_best(sides[0].union(sides[1]).union(_nearest(known, signed))), texts, signed)
             else:
                 fresh = links_of(small.select("a", "b"), texts, signed).union(_large_links(known, texts, signed))
-        fresh = fresh.checkpoint()
+        fresh = _merged(fresh.checkpoint())
         if fresh.limit(1).count():
-            found = fresh if found is None else found.union(fresh).checkpoint()
+            found = fresh if found is None else _merged(found.union(fresh).checkpoint())
             labels = components(found)
     own = signed.select("node", F.struct("doc_id", "node").alias("id"))
     if labels is None:

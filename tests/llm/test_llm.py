@@ -382,3 +382,26 @@ def test_attention_is_fitted_on_every_training_document(spark):
 
 def test_every_operator_is_registered():
     assert {q.split("_")[0] for q in catalog.queries()} == {f"op{n}" for n in range(1, 14)}
+
+
+def test_a_bucket_that_a_task_holds_has_one_row_per_member(spark):
+    n = bagminhash.SMALL_BUCKET + 20
+    kinds = [b"m"] * 15 + [bytes([65 + i]) for i in range(n - 15)]
+    sketch = RNG.integers(0, 256, bagminhash.SLOTS).astype(np.uint8).tobytes()
+    rows = [(7, bytes([i]), 9, n, kinds[i]) for i in RNG.permutation(n).tolist()]
+    known = spark.createDataFrame(rows, "key long, node binary, size int, n long, label binary")
+    signed = spark.createDataFrame([(bytes([i]), sketch) for i in range(n)], "node binary, sketch binary")
+    met = bagminhash._meetings(bagminhash._dealt(known), signed)
+    assert met.count() == n and met.select("lo", "hi").distinct().count() == 1
+
+    # All are alike: one chain of links joins every class, whatever the order of the rows.
+    grams = np.arange(9, dtype=np.uint64).tobytes()
+    table = pa.table({c: [r[c] for r in met.collect()] for c in ("node", "size", "label", "block", "sketch")})
+    table = table.append_column("grams", pa.array([grams] * n, pa.binary()))
+    links = bagminhash._forest(*bagminhash._agreement(0, 0, table), table)
+    label = table["label"].to_pylist()
+    joined = {label[i]: {label[i]} for i in range(n)}
+    for i, j in links:
+        group = joined[label[i]] | joined[label[j]]
+        joined.update(dict.fromkeys(group, group))
+    assert len(joined[b"m"]) == len(set(kinds)) and len(links) == len(set(kinds)) - 1
