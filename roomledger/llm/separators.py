@@ -50,6 +50,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def flush() -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held).combine_chunks()
+        held.clear()  # else the texts are there twice while they are packed
         shard = rows["shard"].to_numpy()
         order = np.argsort(shard, kind="stable")
         codec = pa.Codec("zstd", compression_level=3)

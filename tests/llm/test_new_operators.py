@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import math
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -347,6 +349,27 @@ def test_words_by_pieces_equal_the_whole_tokenizer():
     assert not tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json")).split
 
 
+def test_learnt_words_are_kept_small_and_started_anew(monkeypatch):
+    encoder = tokens.Encoder(tokens.tokenizer_file())
+    n, texts = 40_000, [f"{i:x}zq{i * 7919 % 1000003:x}" for i in range(40_000)]
+    column = pa.array([" ".join(texts[k : k + 400]) for k in range(0, n, 400)])
+    tokens.Encoder(tokens.tokenizer_file()).encode(column)  # tables of the word hash are made once
+    tracemalloc.start()
+    encoder.encode(column)
+    gc.collect()
+    held, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    # 16 bytes a word, and 4 for each of its ids (eleven on average) with room to grow; objects take 150 more.
+    assert held < 130 * n
+    monkeypatch.setattr(tokens, "CACHE_WORDS", 500)
+    anew, whole = tokens.Encoder(tokens.tokenizer_file()), encoder.tokenizer
+    for some in (column[:3], column[1:5], column[:3], pa.array([None, "", "a  b\tÄ 東 a"])):
+        ids, at = anew.encode(some)
+        want = [whole.encode(x or "", add_special_tokens=False).ids for x in some.to_pylist()]
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == want
+        assert len(anew.known) <= max(500, len({x for t in some.to_pylist() for x in (t or "").split()}))
+
+
 def urls_by_brute_force(rows):
     """Score and verdict by nested dictionaries, one url at a time."""
 
