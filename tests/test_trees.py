@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import itertools
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from roomledger.operators import trees
+from roomledger.operators import models, trees
 
 RNG = np.random.default_rng(8)
 N, P = 400, 5
@@ -246,3 +247,31 @@ def test_order_by_node_then_code():
     assert few.tolist() == [3, 4, 1, 2, 0]
     many = trees._node_order(np.array([70_000, 5, 70_000]), np.array([2, 9, 1], dtype=np.uint8), 1 << 17)
     assert many.tolist() == [1, 2, 0]
+
+
+def test_boosting_of_a_hundred_thousand_rows_needs_no_job_per_step(spark):
+    """Above 2**16 rows; the same trees as by steps."""
+    bins = F.concat(*[F.unhex(F.lpad(F.hex(F.pmod(F.xxhash64("id", F.lit(k)), F.lit(m))), 2, "0")) for k, m in enumerate((9, 2, 40))])
+    label = F.pmod(F.xxhash64("id", F.lit(1)) + F.pmod(F.xxhash64("id", F.lit(7)), F.lit(3)), F.lit(2)).cast("double")
+    rows = spark.range(70_000).select(
+        F.xxhash64("id").alias("uid"), F.lit(0).alias("is_test"), label.alias("label"), bins.alias("bins"), F.col("id").cast("string").alias("id")
+    ).cache()
+    rows.count()
+    settings, sc = trees.Boost(5, 0.3, trees.Growth(leaves=6, min_rows=20), row_share=0.9, column_share=0.7), spark.sparkContext
+    sc.setJobGroup("boost-many", "boost")
+    fit = trees.boost(rows, 3, settings, True)
+    assert len(sc.statusTracker().getJobIdsForGroup("boost-many")) < 5
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert fit.trees == trees.boost(rows, 3, settings, True, 0).trees
+    assert len(fit.trees) == 5 and any(len(t.feature) > 3 for t in fit.trees)
+    rows.unpersist()
+
+
+def test_the_longest_fits_start_first(spark, monkeypatch):
+    monkeypatch.setattr(models, "PARALLEL", 1)
+    split = SimpleNamespace(stored=spark.range(1), binned=lambda: None, n_train=9, names=["a", "b"], label_sd=1.0)
+    begun = []
+    names = list(models.classifiers(split))
+    done = models._fit_all(split, lambda split, name, rounds: begun.append(name), names, None)
+    assert [n for n, _ in done] == names
+    assert {*begun[:3]} == {"Gradient Boosting", "Boosting, leafy", "Boosting, subsampled"} and begun[3] == "Random Forest"
