@@ -548,23 +548,26 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
         F.col(f"`{text}`").alias("__text"),
     )
     nodes = _nodes(packed, "__id", "__text").select("node", "doc_id")
-    best = near_classes(packed, "__id", "__text").filter("node = rep_node").select("node", "class_id")
+    classes = near_classes(packed, "__id", "__text")
     counts = nodes.groupBy("node", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    named = (
-        counts.join(best, "node")
-        .filter(F.col("doc_id").eqNullSafe(F.col("class_id")))
-        .select("node", "class_id", "n")
+    names = (F.col("node") == F.col("rep_node")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    # The rows that go, and those that occur as several equal rows: fewer than those that stay, unless most are copies.
+    listed = (
+        counts.join(classes, "node")
+        .withColumn("names", names)
+        .filter("NOT names OR n > 1")
+        .select("node", "doc_id", "names")
         .checkpoint()
     )
     said = F.coalesce(F.regexp_like("__text", F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
     rows = packed.withColumn("__node", F.when(said, F.unhex(F.md5(F.col("__text").cast("binary"))))).drop("__text")
 
-    def of(chosen: DataFrame) -> DataFrame:
-        same = (F.col("__node") == F.col("node")) & F.col("__id").eqNullSafe(F.col("class_id"))
-        return rows.join(_sized(chosen), same, "left_semi")
-
+    same = (F.col("__node") == F.col("node")) & F.col("__id").eqNullSafe(F.col("doc_id"))
+    # Rows without words have no node and stay.
+    once = rows.join(_sized(listed), same, "left_anti")
+    repeated = listed.filter("names")
+    if not repeated.limit(1).count():
+        return once.select("__doc.*")
     # Only a representative that occurs as several equal rows needs whole rows grouped.
-    once = of(named.filter("n = 1"))
-    again = of(named.filter("n > 1")).dropDuplicates(["__node"])
-    silent = rows.filter("__node is null")
-    return once.union(again).union(silent).select("__doc.*")
+    again = rows.join(_sized(repeated), same, "left_semi").dropDuplicates(["__node"])
+    return once.union(again).select("__doc.*")

@@ -115,6 +115,23 @@ def test_bag_min_hash(docs, none, texts):
     assert bagminhash.label(none).count() == bagminhash.keep_one(none).count() == 0
 
 
+def test_only_rows_that_go_are_sent_to_every_task(spark, monkeypatch):
+    texts = [prose(30) for _ in range(60)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(60, texts[0]), (None, texts[1]), (2, texts[2]), (61, " "), (None, None), (62, "x")]
+    docs, sent, near = spark.createDataFrame(rows, "doc_id long, text string"), [], bagminhash.near_classes
+
+    def classes(*args):
+        out = near(*args)
+        monkeypatch.setattr(bagminhash, "_sized", lambda table: sent.append(table.count()) or F.broadcast(table))
+        return out
+
+    monkeypatch.setattr(bagminhash, "near_classes", classes)
+    kept = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in bagminhash.keep_one(docs).collect())
+    want = [(i, t) for i, t in rows[:60]] + [(61, " "), (None, None), (62, "x")]
+    assert kept == sorted((i is None, i or 0, t or "") for i, t in want)
+    assert max(sent) <= 3  # copies of texts 0 and 1, and the repeated row
+
+
 def test_bag_star_of_edited_copies(spark, monkeypatch):
     """Copies that are near the original alone, and pairs that share a long boilerplate with all others."""
     monkeypatch.setattr(bagminhash, "BLOCK", 300, raising=False)
