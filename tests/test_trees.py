@@ -275,3 +275,35 @@ def test_the_longest_fits_start_first(spark, monkeypatch):
     done = models._fit_all(split, lambda split, name, rounds: begun.append(name), names, None)
     assert [n for n, _ in done] == names
     assert {*begun[:3]} == {"Gradient Boosting", "Boosting, leafy", "Boosting, subsampled"} and begun[3] == "Random Forest"
+
+
+def test_bundles_add_up_to_the_sums_of_every_feature():
+    rng = np.random.default_rng(4)
+    widths = np.array([2, 256, 3, 2, 1, 17, 2])
+    columns = np.stack([rng.integers(0, w, 500) for w in widths]).astype(np.uint8)
+    weight = rng.integers(-(2**40), 2**40, 500).astype(float)
+    for most in (1, 30, 1 << 12):
+        bundles = trees._Bundles.of(widths, most)
+        assert sorted(f for m in bundles.members for f in m) == list(range(7))
+        packed, out = bundles.cells(columns), np.zeros((2, 7, 256))
+        for i, size in enumerate(bundles.sizes):
+            counts = np.stack([np.bincount(packed[i], x, size) for x in (None, weight)])
+            bundles.spread(i, counts, bundles.members_of(i), out)
+        for f in range(7):
+            assert out[:, f].tolist() == [np.bincount(columns[f], x, 256).tolist() for x in (None, weight)]
+            assert bundles.codes(packed, np.full(500, f), np.arange(500)).tolist() == columns[f].tolist()
+
+
+def test_boosting_of_three_hundred_thousand_rows_needs_no_job_per_step(spark):
+    """Above 2**18 rows, as a sixth of the bookings of 1 GB has."""
+    bins = F.unhex(F.lpad(F.hex(F.pmod(F.xxhash64("id"), F.lit(30))), 2, "0"))
+    label = (F.pmod(F.xxhash64("id"), F.lit(30)) * 7 % 5 > 2).cast("double")
+    rows = spark.range(300_000).select(
+        F.xxhash64("id").alias("uid"), F.lit(0).alias("is_test"), label.alias("label"), bins.alias("bins"), F.lit("").alias("id")
+    )
+    sc = spark.sparkContext
+    sc.setJobGroup("boost-300", "boost")
+    fit = trees.boost(rows, 1, trees.Boost(6, 0.3, trees.Growth(leaves=6, min_rows=20)), True)
+    assert len(sc.statusTracker().getJobIdsForGroup("boost-300")) < 5
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(fit.trees) == 6 and all(t.n[0] == 300_000 for t in fit.trees)
