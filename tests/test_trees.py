@@ -307,3 +307,33 @@ def test_boosting_of_three_hundred_thousand_rows_needs_no_job_per_step(spark):
     assert len(sc.statusTracker().getJobIdsForGroup("boost-300")) < 5
     sc.setLocalProperty("spark.jobGroup.id", None)
     assert len(fit.trees) == 6 and all(t.n[0] == 300_000 for t in fit.trees)
+
+
+def test_forest_cuts_by_cells_equal_cuts_by_sort(monkeypatch):
+    rng = np.random.default_rng(5)
+    codes = np.stack([rng.integers(0, k, 900) for k in (2, 250, 9, 31)], axis=1).astype(np.uint8)
+    y, w = rng.integers(0, 9, 900).astype(float), rng.integers(1, 4, 900).astype(float)
+    for tries in (2, 4):
+        grown = []
+        for cells in (0, 4, 1 << 20):
+            monkeypatch.setattr(trees, "CELLS_A_ROW", cells)
+            grown.append(trees.grow_rows(codes, y, w, 3, 1, tries, trees.Forest(depth=70)))
+        assert grown[0] == grown[1] == grown[2] and len(grown[0].feature) > 500
+
+
+def test_trees_of_a_group_are_dealt_evenly(spark):
+    rows = spark.range(5, 13).select(F.col("id").cast("int").alias("tree"))
+    dealt = rows.repartition(8, trees._salt(spark, range(5, 13), 8))
+    assert dealt.groupBy(F.spark_partition_id()).count().count() == 8
+
+
+def test_forest_tree_of_three_hundred_thousand_rows_is_one_group(spark, monkeypatch):
+    """Above 2**18 drawn rows: no job per level."""
+    monkeypatch.setattr(trees, "_top_levels", lambda *a: pytest.fail("split by jobs"))
+    bins = F.unhex(F.lpad(F.hex(F.pmod("id", F.lit(30))), 2, "0"))
+    rows = spark.range(450_000).select(
+        F.xxhash64("id").alias("uid"), (F.col("id") < 60).cast("int").alias("is_test"),
+        (F.col("id") % 30 > 11).cast("double").alias("label"), bins.alias("bins"), F.col("id").cast("string").alias("id"),
+    )
+    scores, _ = trees.forest_scores(rows, 1, trees.Forest(trees=2))
+    assert {(r.label, r.score) for r in scores.collect()} == {(0.0, 0.0), (1.0, 1.0)}
