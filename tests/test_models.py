@@ -391,3 +391,33 @@ def test_variable_selection_joins_its_tables_once(spark, sf, monkeypatch):
     monkeypatch.setattr(inference, "cross_products", seen)
     learning.st_select_variables(spark, sf).collect()
     assert len(plans) == 1 and "Join" not in plans[0]
+
+
+def test_open_cells_repeat_vectors_for_some_visits_at_a_time():
+    """Queries whose reach opens every cell: the batches that leave the task stay small."""
+    n, cells, sent = 600, 200, []
+    asked = pd.DataFrame({"id": range(n), "vec": list(np.zeros((n, 4))), "home": 0, "reach": np.inf})
+
+    class Frame:
+        dtypes = [("id", "bigint")]
+
+        def select(self, *columns):
+            return self
+
+        def mapInPandas(self, run, schema):  # noqa: N802 - as the frame names it
+            sent.extend(run(iter([asked])))
+
+    neighbours._open_cells(Frame(), "id", np.random.default_rng(2).normal(size=(cells, 4)), np.ones(cells))
+    visits = pd.concat(sent)
+    assert len(visits) == n * (cells - 1) == len(visits[["id", "cell"]].drop_duplicates())
+    assert max(len(p) for p in sent) <= 10_000
+
+
+def test_bound_of_the_nearest_holds_them_all():
+    rng = np.random.default_rng(6)
+    q, x = rng.normal(size=(20, 5)).round(1), rng.normal(size=(3000, 5)).round(1)
+    far = np.linalg.norm(q[:, None] - x[None], axis=2)
+    row, at, exact = neighbours._ranked(q, x, 15)
+    for i in range(20):
+        assert at[row == i].tolist() == np.lexsort((np.arange(3000), far[i]))[:15].tolist()
+        assert np.allclose(exact[row == i], np.sort(far[i])[:15])
