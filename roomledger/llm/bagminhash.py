@@ -46,6 +46,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,8 +59,10 @@ ESTIMATE = 0.65
 BANDS, ROWS = 32, 5
 SLOTS = BANDS * ROWS
 SMALL_BUCKET = 8
-BROADCAST_NODES = 500_000  # 16-byte digests
-BROADCAST_BYTES = 16 << 20
+# The driver holds a broadcast several times while it is built: as rows, as a map, in pieces.
+BROADCAST_NODES = 100_000  # 16-byte digests
+BROADCAST_BYTES = 8 << 20
+TASK_LINKS = 1 << 20  # links whose chains one task follows, in some 200 MB
 BLOCK = 2048  # members of a large bucket that one side of a task holds
 BLOCK_SHINGLES = 1 << 20  # their shingles; a longer text has a side to itself but for hash chance
 SLICE = 1 << 20  # bytes of text that are signed at once
@@ -240,8 +243,42 @@ def _merged(table: DataFrame) -> DataFrame:
     return table.coalesce(max(1, math.ceil(table.count() / ROWS_PER_PARTITION)))
 
 
+def _chains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same for all links of a task."""
+    held = list(batches)
+    if not sum(b.num_rows for b in held):
+        return
+    table = pa.Table.from_batches(held).combine_chunks()
+    ends = pa.concat_arrays([table.column(k).chunk(0) for k in (0, 1)])
+    nodes = pc.unique(ends)
+    nodes = nodes.take(pc.array_sort_indices(nodes))
+    a, b = pc.index_in(ends, nodes).to_numpy().reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        # Nodes, and those that name them, take the smaller name; then names of names are followed to their end.
+        new = label.copy()
+        for at in (a, b, label[a], label[b]):
+            np.minimum.at(new, at, low)
+        while (new != new[new]).any():
+            new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    for start in range(0, len(nodes), 1 << 16):
+        part = slice(start, start + (1 << 16))
+        yield pa.RecordBatch.from_arrays([nodes[part], nodes.take(pa.array(label[part]))], names=["node", "label"])
+
+
 def components(links: DataFrame) -> DataFrame:
-    """``node, label``: the smallest node that a chain of links reaches."""
+    """``node, label``: the smallest node that a chain of links reaches.
+
+    One task follows the chains of up to ``TASK_LINKS`` links: a loop of joins would cost the
+    driver a dozen plans for a few rows. More links are followed by joins.
+    """
+    if links.limit(TASK_LINKS + 1).count() <= TASK_LINKS:
+        kind = links.schema["a"].dataType.simpleString()
+        return links.select("a", "b").coalesce(1).mapInArrow(_chains, f"node {kind}, label {kind}").checkpoint()
     both = _merged(links.select("a", "b").union(links.select("b", "a")).distinct().checkpoint())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select(
         "node", F.least("node", "m").alias("label")

@@ -422,3 +422,23 @@ def test_a_bucket_that_a_task_holds_has_one_row_per_member(spark):
         group = joined[label[i]] | joined[label[j]]
         joined.update(dict.fromkeys(group, group))
     assert len(joined[b"m"]) == len(set(kinds)) and len(links) == len(set(kinds)) - 1
+
+
+def test_chains_of_few_links_need_no_loop_of_joins(spark, monkeypatch):
+    """The same classes as by joins; a long chain, a star, a ring, a loop on one node and repeated links."""
+    from roomledger.llm import bagminhash
+
+    pairs = [(k, k + 1) for k in range(40)] + [(100, k) for k in range(101, 120)] + [(200, 201), (201, 202), (202, 200), (300, 300), (5, 6)]
+    pairs += [(int(a), int(b)) for a, b in np.random.default_rng(3).integers(400, 900, (260, 2))]
+    name = lambda k: bytes([(k * 37) % 256, k // 256, k % 256]) + b"\0" * 13
+    links = spark.createDataFrame([tuple(sorted((bytearray(name(a)), bytearray(name(b))))) for a, b in pairs], "a binary, b binary").repartition(3).checkpoint()
+    found, sc = [], spark.sparkContext
+    for most, jobs in ((1 << 20, 6), (0, 10_000)):
+        monkeypatch.setattr(bagminhash, "TASK_LINKS", most)
+        sc.setJobGroup(f"chains-{most}", "chains")
+        found.append(sorted((bytes(r.node), bytes(r.label)) for r in bagminhash.components(links).collect()))
+        assert len(sc.statusTracker().getJobIdsForGroup(f"chains-{most}")) <= jobs
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert found[0] == found[1] and len(found[0]) == len({x for p in pairs for x in p})
+    monkeypatch.undo()
+    assert not bagminhash.components(links.limit(0)).count()
